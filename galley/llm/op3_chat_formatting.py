@@ -65,10 +65,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = state.join(parents, ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
-    path = chosen.select("tree", "branch", "node")
+    path = materialize(chosen.select("tree", "branch", "node"), "path")
     for step in reversed(steps[:-1]):
         up = step.where(F.col("up").isNotNull()).select("tree", "node", "up")
-        path = path.unionByName(path.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node")))
+        path = materialize(path.unionByName(path.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"))), "path")
     depth = state.select("tree", "node", F.col("depth").alias("pos"))
     words = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return path.join(depth, ["tree", "node"]).join(words, ["tree", "node"])
