@@ -49,17 +49,14 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     node = messages.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = node.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     node = node.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score")
-    # steps[k] holds the ancestor 2^k steps up; depth and total cover the steps below it
+    # steps[k] holds the ancestor 2^k steps up; depth and total cover the steps below it. Messages that have
+    # reached their root are done: only the others are joined again
     state = materialize(node.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "tree")
     steps = [state]
-    while not state.where(F.col("up").isNotNull()).isEmpty():
+    while not (on := state.where(F.col("up").isNotNull())).isEmpty():
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        state = materialize(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")
-            ),
-            "tree",
-        )
+        moved = on.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
+        state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "tree")
         steps.append(state)
     parents = steps[0].where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct()
     leaves = state.join(parents, ["tree", "node"], "left_anti")
