@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that each hold the query of their name, and SQL where DuckDB can express it.
-MODULES = ("op1_substring_dedup", "op2_exact_topk", "op3_chat_formatting", "op5_hyperminhash", "op6_crf_language_id", "op7_token_counts", "op8_url_filters", "op9_string_tiling", "op10_byte_bpe")
+MODULES = (
+    "op1_substring_dedup", "op2_exact_topk", "op3_chat_formatting", "op4_logistic_mixing", "op5_hyperminhash",
+    "op6_crf_language_id", "op7_token_counts", "op8_url_filters", "op9_string_tiling", "op10_byte_bpe",
+)
 
 
 def _modules() -> dict:
