@@ -31,9 +31,8 @@ LEAST_SHARE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training_rows(docs))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    found = predict(docs.where("doc_id is not null").select(row, "text"), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("__row.*")
+    found = predict(docs.where("doc_id is not null"), model, keep_text=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

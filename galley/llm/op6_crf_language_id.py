@@ -248,7 +248,7 @@ def _step(model: Model, batch: list[tuple[int, list[str]]], squares: dict, r: np
         v += (RATE * g[k] / np.sqrt(squares[k])).astype(v.dtype)
 
 
-def _predicted(model):
+def _predicted(model, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -256,7 +256,7 @@ def _predicted(model):
         m: Model = model.value
         for batch in batches:
             names, scores = [], []
-            for data, offsets, row in slices(batch["__text"]):
+            for data, offsets, row in slices(batch["__text"], 1 << 20):
                 with np.errstate(over="ignore"):
                     w = words_of(data, offsets, row)
                 count = np.append(0, np.cumsum(LETTERS[data]))
@@ -281,7 +281,8 @@ def _predicted(model):
                         names.append("und")
                         scores.append(0.0)
             keep = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            own, named = ([batch["__text"]], ["text"]) if keep_text else ([], [])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), *own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *named, "lang_pred", "score"])
 
     return run
 
@@ -295,8 +296,8 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_B
     return [(r.lang, r.text) for r in rows.select("lang", "text").collect()]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without its text, and with lang_pred and score; columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """``docs``, without its text unless that is kept, and with lang_pred and score; columns of these names are replaced."""
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
@@ -304,8 +305,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predicted(sent), schema)
+    own = [T.StructField("text", T.StringType())] if keep_text else []
+    schema = T.StructType([*(rows.schema[c] for c in rest), *own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predicted(sent, keep_text), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
