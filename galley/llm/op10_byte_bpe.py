@@ -4,7 +4,7 @@ A text is cut by the tokenizer's pattern into words. The distinct words of a sli
 tokens themselves become rows (word, position, token, next token); a recursive query joins them with the
 merge table, takes each word's leftmost pair of minimum rank and contracts it, until no word has a pair
 left. An ordered aggregation collects a word's ids, and another one decodes ids to bytes. Encoded words are
-kept for the next texts, up to a number of entries, which saves work and changes no result.
+kept for the task's next texts, up to a number of entries, which saves work and changes no result.
 
 Spark deals out the texts, one slice of a few MB is in work at a time, and a lost task is repeated from its
 input. The vocabulary is one file of fixed size (0.5 MB), read by the driver and sent to the executors.
@@ -31,8 +31,8 @@ from galley.llm.words import slices
 from galley.tables import importable, table
 
 LONG = 256
-WORDS_AT_ONCE = 50_000
-KEPT_WORDS = 300_000
+WORDS_AT_ONCE = 25_000
+KEPT_WORDS = 400_000
 
 #: One row for each byte of a word that is not contracted into its right neighbour: a contracted pair takes
 #: the right one's place, so only rows of the same word change. x: rank, left place and right place in one.
@@ -51,7 +51,7 @@ WITH RECURSIVE s(it, w, pos, tok, nxt, npos) AS (
   ) b ON s.w = b.w
   WHERE s.pos <> b.p
 ), ends AS (SELECT w, max(it) AS it FROM s GROUP BY w)
-SELECT w, list(tok ORDER BY pos) AS ids FROM s JOIN ends USING (w, it) GROUP BY w ORDER BY w
+SELECT w, tok FROM s JOIN ends USING (w, it) ORDER BY w, pos
 """
 DECODE = "SELECT w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes FROM tokens t JOIN vocabulary v USING (id) GROUP BY w ORDER BY w"
 
@@ -75,7 +75,7 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '500MB'")
+        self.db.execute("SET memory_limit = '300MB'")
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         self.table("m", {"pair": (left << 32) + right, "rank": rank.astype(np.int32)})
@@ -119,22 +119,20 @@ class Codec:
             new = list(words)
         for at in range(0, len(new), WORDS_AT_ONCE):
             chunk = new[at : at + WORDS_AT_ONCE]
-            ids: list[list[int] | None] = []
-            rows = []
-            for i, w in enumerate(chunk):
-                raw = w.encode()
-                whole = self.ranks.get(raw)
-                ids.append([whole] if whole is not None else self._long(raw) if len(raw) > LONG else None)
-                if ids[-1] is None:
-                    rows.append((i, raw))
-            if rows:
-                for i, found in zip([r[0] for r in rows], self._contract([r[1] for r in rows]), strict=True):
-                    ids[i] = found
-            packed = [np.array(x, "<u4").tobytes() for x in ids]
+            raw = [w.encode() for w in chunk]
+            ready = {i: [r] for i, x in enumerate(raw) if (r := self.ranks.get(x)) is not None}
+            ready |= {i: self._long(x) for i, x in enumerate(raw) if len(x) > LONG and i not in ready}
+            rest = [i for i in range(len(raw)) if i not in ready]
+            packed: list[bytes] = [b""] * len(raw)
+            for i, ids in ready.items():
+                packed[i] = np.array(ids, "<u4").tobytes()
+            if rest:
+                for i, ids in zip(rest, self._contract([raw[i] for i in rest]), strict=True):
+                    packed[i] = ids
             self.encoded.update(zip(chunk, packed, strict=True))
-            self.decoded.update(zip(packed, self._expand(ids), strict=True))
+            self.decoded.update(zip(packed, self._expand(packed), strict=True))
 
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
         w = np.repeat(np.arange(len(words)), size)
         pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
@@ -142,15 +140,23 @@ class Codec:
         last = pos == size[w] - 1
         nxt = np.where(last, -1, np.append(tok[1:], -1))
         self.table("bytes_of_words", {"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32), "nxt": nxt.astype(np.int32), "npos": np.where(last, 8388607, pos + 1).astype(np.int32)})
-        return self.db.sql(ENCODE).to_arrow_table()["ids"].to_pylist()
-
-    def _expand(self, ids: list[list[int]]) -> list[bytes]:
-        size = np.array([len(x) for x in ids])
-        w = np.repeat(np.arange(len(ids)), size)
+        found = self.db.sql(ENCODE).to_arrow_table()
+        ids = found["tok"].to_numpy().astype("<u4").tobytes()
+        cut = (4 * np.searchsorted(found["w"].to_numpy(), np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _expand(self, packed: list[bytes]) -> list[bytes]:
+        size = np.array([len(x) // 4 for x in packed])
+        w = np.repeat(np.arange(len(packed)), size)
         pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        self.table("tokens", {"w": w, "pos": pos, "id": np.concatenate([np.array(x, np.int64) for x in ids])})
+        self.table("tokens", {"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": np.frombuffer(b"".join(packed), "<u4").astype(np.int64)})
         return self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist()
 
+    def forget(self) -> None:
+        """Leave no words behind in a worker that goes on to other tasks."""
+        self.encoded.clear()
+        self.decoded.clear()
+
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, the bytes that they decode to) of each text."""
         cut = [self.pattern.findall(t) for t in texts]
@@ -182,6 +188,7 @@ def _coded(ranks, pattern: str, digest: bool):
                     more = [n, pa.array(ids, pa.list_(pa.int64())), pa.array([d for _, d in out], pa.binary())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "token_ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *more], names=[*rest, *names])
+        codec.forget()
 
     return run
 
