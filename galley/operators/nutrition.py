@@ -33,7 +33,11 @@ def per_name(ingredients: DataFrame) -> DataFrame:
     pairs = units.with_unit_grams(units.with_unit_grams(pairs, "name", "fixed_unit", "unit_g"), "name", "default_unit", "by_default")
     # a name without a default keeps none, though its missing unit alone would mean a piece
     default = F.when(F.col("default_q").isNotNull(), F.col("default_q") * F.col("by_default"))
-    return pairs.withColumns({"default_g": default, "piece_g": units.piece_grams(name)}).drop("default_q", "default_unit", "by_default")
+    pairs = pairs.withColumns({"default_g": default, "piece_g": units.piece_grams(name)}).drop("default_q", "default_unit", "by_default")
+    pairs = pairs.withColumn("nu", units.normal_unit(F.coalesce("fixed_unit", F.lit(""))))
+    ml = F.when(F.col("nu").isin(*units.VOLUME_UNITS), units.lookup(dims.UNIT_GRAMS, F.col("nu")))
+    kinds = {"plain_kind": units.liquid(wanted, F.lit(False)), "soup_kind": units.liquid(wanted, F.lit(True))}
+    return pairs.withColumns({"unit_ml": ml} | kinds).drop("nu")
 
 
 def ingredient_details(ingredients: DataFrame, foods: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -52,9 +56,8 @@ def ingredient_details(ingredients: DataFrame, foods: DataFrame, recipes: DataFr
         F.when(F.col("name") == "", "no_translation").when(F.col("negligible"), "negligible").when(F.col("id").isNull(), "no_match")
         .when(implausible, "implausible_quantity").when(F.coalesce(F.col("grams"), F.lit(0.0)) <= 0, "no_weight").otherwise("resolved")
     )
-    unit = units.normal_unit(F.coalesce("fixed_unit", F.lit("")))
-    ml = F.when(unit.isin(*units.VOLUME_UNITS), F.coalesce("fixed_q", F.lit(0.0)) * units.lookup(dims.UNIT_GRAMS, unit)).otherwise(F.col("grams"))
-    kind = units.liquid(F.col("key"), F.col("soup"))
+    ml = F.when(F.col("unit_ml").isNotNull(), F.coalesce("fixed_q", F.lit(0.0)) * F.col("unit_ml")).otherwise(F.col("grams"))
+    kind = F.when(F.col("soup"), F.col("soup_kind")).otherwise(F.col("plain_kind"))
     rows = rows.withColumn("grams", grams).withColumn("status", status).withColumns({"kind": kind, "ml": ml})
     much = F.col("ml") > F.when(F.col("kind").isin("frying_oil", "confit_fat"), 400.0).otherwise(250.0)
     rows = rows.withColumn("retained", F.when(F.col("kind").isNotNull() & much, units.lookup(dims.RETENTION, F.col("kind"))).otherwise(1.0))

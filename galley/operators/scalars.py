@@ -87,7 +87,7 @@ catalog.add(
 )
 catalog.add(
     "STR-40_recipe_text",
-    lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: F.concat(F.lit("- "), x.name)), "\n").alias("value")),
+    lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("value")),
     with_views("SELECT rid, string_agg('- ' || name, chr(10) ORDER BY pos) AS value FROM ingredients GROUP BY rid"),
 )
 catalog.add(
