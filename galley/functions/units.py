@@ -9,9 +9,18 @@ from galley import dims
 from galley.functions.text import singular, words
 
 
+def _literal(v) -> str:
+    return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else f"{float(v)!r}D"
+
+
+def listed(values) -> Column:
+    """A fixed list of strings as one constant array."""
+    return F.expr("array(" + ", ".join(map(_literal, values)) + ")")
+
+
 def lookup(table: dict, c: Column) -> Column:
-    """A fixed table as a map, read at ``c``."""
-    return F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), c)
+    """A fixed table as one constant map, read at ``c``."""
+    return F.element_at(F.expr("map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items()) + ")"), c)
 
 
 def round_half_up(c: Column, unit: float = 1.0) -> Column:
@@ -30,7 +39,7 @@ def sql_rounded(e: str, digits: int) -> str:
 
 def first_of(table: dict, test) -> Column:
     """The value of the first entry, longest keys first, whose key passes ``test``: one constant array, no join."""
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in sorted(table.items(), key=lambda x: -len(x[0]))])
+    entries = F.expr("array(" + ", ".join(f"named_struct('k', {_literal(k)}, 'v', {_literal(v)})" for k, v in sorted(table.items(), key=lambda x: -len(x[0]))) + ")")
     return F.get(F.filter(entries, lambda x: test(x.k)), F.lit(0)).v
 
 
@@ -42,7 +51,7 @@ def longest_part(table: dict, c: Column) -> Column:
 def normal_unit(unit: Column) -> Column:
     """One spelling for each unit; adjectives before it do not count."""
     w = words(F.lower(F.trim(unit)))
-    core = F.filter(w, lambda x: ~x.isin(dims.UNIT_ADJECTIVES))
+    core = F.filter(w, lambda x: ~F.array_contains(listed(dims.UNIT_ADJECTIVES), x))
     core = F.when(F.size(core) > 0, core).otherwise(w)
     whole = F.array_join(core, " ")
     return F.when(F.size(w) == 0, "").otherwise(
@@ -68,7 +77,7 @@ def portion_grams(name: Column, unit: Column) -> Column:
     """Of one spoon or cup: the name, its singular, its words from the right, else the longest known part."""
     n = F.lower(F.trim(name))
     known = sorted(((k, u, v) for k, x in dims.PORTION_GRAMS.items() for u, v in x.items()), key=lambda x: -len(x[0]))
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, u, v in known])
+    entries = F.expr("array(" + ", ".join(f"named_struct('k', {_literal(k)}, 'u', {_literal(u)}, 'v', {_literal(v)})" for k, u, v in known) + ")")
     mine = F.filter(entries, lambda x: (x.u == unit) & F.contains(n, x.k))
     pick = lambda test: F.get(F.filter(mine, test), F.lit(0)).v
     by_word = F.array_max(F.transform(F.filter(mine, lambda x: F.array_contains(words(n), x.k)), lambda x: F.struct(F.array_position(words(n), x.k).alias("at"), x.v.alias("v"))))
@@ -99,7 +108,7 @@ def with_unit_grams(df: DataFrame, name: str, unit: str, out: str) -> DataFrame:
 
 def liquid(name: Column, soup: Column) -> Column:
     """The kind of a cooking liquid, or null."""
-    has = lambda parts: F.greatest(*[F.contains(name, F.lit(p)) for p in parts])
+    has = lambda parts: F.exists(listed(parts), lambda p: F.contains(name, p))
     return (
         F.when(has(dims.DISCARDED), "discard")
         .when(has(dims.ALCOHOL), "alcohol")
@@ -110,12 +119,12 @@ def liquid(name: Column, soup: Column) -> Column:
 
 
 def soup(title: Column) -> Column:
-    return F.greatest(*[F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(p)) for p in dims.SOUPS])
+    return F.exists(listed(dims.SOUPS), lambda p: F.contains(F.lower(F.coalesce(title, F.lit(""))), p))
 
 
 def negligible(name: Column, unit: Column) -> Column:
     u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
-    return name.isin(dims.NEGLIGIBLE) | (name.isin(dims.HERBS) & ((u == "") | normal_unit(u).isin(dims.SMALL_HERB_UNITS)))
+    return F.array_contains(listed(dims.NEGLIGIBLE), name) | (F.array_contains(listed(dims.HERBS), name) & ((u == "") | F.array_contains(listed(dims.SMALL_HERB_UNITS), normal_unit(u))))
 
 
 def broken_fraction(unit: Column) -> tuple[Column, Column]:

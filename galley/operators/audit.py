@@ -75,7 +75,7 @@ def layer1(profiles: DataFrame) -> DataFrame:
 add("AGG-4_layer1", lambda s, d: layer1(profiles_of(s, d)), f"""{PROFILES_SQL}, l AS (SELECT list_sort(list(kcal)) AS k, count(*) AS n FROM profiles)
   SELECT n, k[CAST(floor(n * 0.5e0) AS BIGINT) + 1] AS median, k[CAST(floor(n * 0.05e0) AS BIGINT) + 1] AS p5, k[CAST(floor(n * 0.95e0) AS BIGINT) + 1] AS p95,
     (SELECT count(*) FROM profiles WHERE kcal = 0) AS zero, (SELECT count(*) FROM profiles WHERE kcal > 1500) AS high FROM l""")
-add("AGG-12_audit_nutrition", lambda s, d: profiles_of(s, d).groupBy("confidence").agg(F.count("*").alias("n"), F.count_if((F.col("kcal") > 2000) | (F.col("kcal") < 20)).alias("extreme"), F.count_if(F.col("matched") / F.col("total") < 0.7).alias("low_match")),
+add("AGG-12_audit_nutrition", lambda s, d: profiles_of(s, d).groupBy("confidence").agg(F.count("*").alias("n"), F.count_if((F.col("kcal") > 2000) | (F.col("kcal") < 20)).alias("extreme"), F.count_if(F.try_divide(F.col("matched"), F.col("total")) < 0.7).alias("low_match")),
     f"{PROFILES_SQL} SELECT confidence, count(*) AS n, count(*) FILTER (WHERE kcal > 2000 OR kcal < 20) AS extreme, count(*) FILTER (WHERE total > 0 AND matched / total < 0.7) AS low_match FROM profiles GROUP BY 1")
 add("AGG-13_audit_review", lambda s, d: view(s, d, "labels").agg(F.count("*").alias("reviewed"), F.count_if(F.col("quality") == 0).alias("low"), F.sum("quality").alias("score")), "SELECT count(*) AS reviewed, count(*) FILTER (WHERE quality = 0) AS low, CAST(sum(quality) AS BIGINT) AS score FROM labels")
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and SQL (name to text).
-MODULES: tuple[str, ...] = ("galley.operators.nutrition", "galley.operators.scalars", "galley.operators.search", "galley.operators.audit")
+MODULES: tuple[str, ...] = ("galley.operators.nutrition", "galley.operators.scalars", "galley.operators.search", "galley.operators.audit", "galley.streaming.progress")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
