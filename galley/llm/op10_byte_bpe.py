@@ -32,7 +32,7 @@ from galley.tables import importable, table
 
 LONG = 256
 WORDS_AT_ONCE = 25_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 
 #: One row for each byte of a word that is not contracted into its right neighbour: a contracted pair takes
 #: the right one's place, so only rows of the same word change. x: rank, left place and right place in one.
@@ -62,10 +62,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    """(left, right, rank): the pairs of tokens that make a token."""
+    pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+
+
 class Codec:
-    """Encodes and decodes words in DuckDB; one per Python worker."""
+    """Encodes and decodes words in DuckDB; one per task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, ...] | None = None):
         import duckdb
         import regex
 
@@ -76,8 +82,7 @@ class Codec:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '300MB'")
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        left, right, rank = merges(ranks) if pairs is None else pairs
         self.table("m", {"pair": (left << 32) + right, "rank": rank.astype(np.int32)})
         self.table("v", {"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -152,10 +157,11 @@ class Codec:
         self.table("tokens", {"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": np.frombuffer(b"".join(packed), "<u4").astype(np.int64)})
         return self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist()
 
-    def forget(self) -> None:
-        """Leave no words behind in a worker that goes on to other tasks."""
+    def close(self) -> None:
+        """Leave nothing behind in a worker that goes on to other tasks."""
         self.encoded.clear()
         self.decoded.clear()
+        self.db.close()
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, the bytes that they decode to) of each text."""
@@ -166,17 +172,14 @@ class Codec:
             yield b"".join(ids), b"".join([self.decoded[x] for x in ids])
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def _coded(ranks, pattern: str, digest: bool):
+def _coded(sent, pattern: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (len(ranks.value), pattern)
-        codec = _codecs.get(key) or _codecs.setdefault(key, Codec(ranks.value, pattern))
+        ranks, pairs = sent.value
+        codec = Codec(ranks, pattern, pairs)
         for batch in batches:
             rest = batch.schema.names[:-1]
             column = batch.column(len(rest))
-            for _, offsets, row in slices(column, 4 << 20):
+            for _, offsets, row in slices(column, 2 << 20):
                 part = batch.slice(row, len(offsets) - 1)
                 texts = [t or "" for t in part.column(len(rest)).to_pylist()]
                 out = list(codec.texts(texts))
@@ -188,7 +191,7 @@ def _coded(ranks, pattern: str, digest: bool):
                     more = [n, pa.array(ids, pa.list_(pa.int64())), pa.array([d for _, d in out], pa.binary())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "token_ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *more], names=[*rest, *names])
-        codec.forget()
+        codec.close()
 
     return run
 
@@ -203,13 +206,14 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 
     spark = docs.sparkSession
     importable(spark)
-    ranks = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    sent = spark.sparkContext.broadcast((ranks, merges(ranks)))
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "token_ids", "decoded"]
     rest = docs.drop(text, *names)
     types = [T.LongType(), T.StringType(), T.StringType()] if digest else [T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
     schema = T.StructType([*rest.schema.fields, *(T.StructField(n, t) for n, t in zip(names, types, strict=True))])
     return docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(text).cast("string").alias("__text")).mapInArrow(
-        _coded(ranks, pattern or public_tokenizers.PATTERN, digest), schema
+        _coded(sent, pattern or public_tokenizers.PATTERN, digest), schema
     )
 
 
