@@ -137,16 +137,10 @@ on("NUM-15_calorie_score", "foods", "id", lambda: rounded(F.when(K() <= 0, 0.0).
 on("NUM-16_macro_status", "foods", "id", lambda: F.when(P() < 10, "low").when(P() > 20, "high").otherwise("ok"), "CASE WHEN protein < 10 THEN 'low' WHEN protein > 20 THEN 'high' ELSE 'ok' END")
 on("NUM-17_daily_value", "foods", "id", lambda: F.floor(P() * 100 / 50 + 0.5), "CAST(floor(protein * 100 / 50 + 0.5) AS BIGINT)")
 on("NUM-18_calorie_rounding", "foods", "id", lambda: round_half_up(K(), 10.0), "floor(kcal / 10e0 + 0.5) * 10e0")
-on("NUM-22_gram_rounding", "foods", "id", lambda: F.when(K() < 10, round_half_up(K())).when(K() < 100, round_half_up(K(), 5.0)).otherwise(round_half_up(K(), 10.0)), "CASE WHEN kcal < 10 THEN floor(kcal / 1e0 + 0.5) * 1e0 WHEN kcal < 100 THEN floor(kcal / 5e0 + 0.5) * 5e0 ELSE floor(kcal / 10e0 + 0.5) * 10e0 END")
-_near = lambda fr: F.array_min(F.array(*[F.struct(F.abs(fr - x).alias("d"), F.lit(x).alias("x")) for x in (0.25, 1 / 3, 0.5, 2 / 3, 0.75)])).x
-on("NUM-23_fraction_rounding", "foods", "id", lambda: rounded(F.floor(K() / 7) + _near(K() / 7 - F.floor(K() / 7)), 6), sql_rounded("floor(kcal / 7) + list_min([" + ", ".join(f"{{'d': abs(kcal / 7 - floor(kcal / 7) - {x!r}e0), 'x': {x!r}e0}}" for x in (0.25, 1 / 3, 0.5, 2 / 3, 0.75)) + "]).x", 6))
-on("NUM-27_ml_rounding", "foods", "id", lambda: F.when(K() >= 1000, rounded(K() / 1000, 1)).when(K() >= 100, round_half_up(K(), 10.0)).when(K() >= 10, round_half_up(K(), 5.0)).otherwise(round_half_up(K())), f"CASE WHEN kcal >= 1000 THEN {sql_rounded('kcal / 1000', 1)} WHEN kcal >= 100 THEN floor(kcal / 10e0 + 0.5) * 10e0 WHEN kcal >= 10 THEN floor(kcal / 5e0 + 0.5) * 5e0 ELSE floor(kcal / 1e0 + 0.5) * 1e0 END")
-on("NUM-29_imperial_weight", "foods", "id", lambda: F.when(K() >= 907, round_half_up(K() / 453.6, 0.25)).otherwise(round_half_up(K() / 28.35, 0.5)), "CASE WHEN kcal >= 907 THEN floor(kcal / 453.6e0 / 0.25e0 + 0.5) * 0.25e0 ELSE floor(kcal / 28.35e0 / 0.5e0 + 0.5) * 0.5e0 END")
 on("NUM-37_weight_cache_key", "ingredients", "rid, pos", lambda: F.concat_ws("|", F.coalesce(F.lower("unit"), F.lit("")), F.lower(F.trim("name"))), "coalesce(lower(unit), '') || '|' || lower(trim(name))")
 on("NUM-36_servings_multiplier", "recipes", "rid", lambda: F.lit(6) / F.col("servings"), "CAST(6 AS DOUBLE) / servings")
 _scale = {"spices": 0.7, "seasoning": 0.8, "yeast": 0.75}
 on("NUM-21_servings_scaling", "ingredients", "rid, pos", lambda: rounded(F.col("quantity") * F.pow(F.lit(2.0), F.coalesce(lookup(_scale, F.col("category")), F.lit(1.0))), 4), sql_rounded("quantity * pow(2e0, CASE category WHEN 'spices' THEN 0.7e0 WHEN 'seasoning' THEN 0.8e0 WHEN 'yeast' THEN 0.75e0 ELSE 1e0 END)", 4))
-on("NUM-34_amount_format", "ingredients", "rid, pos", lambda: F.when((F.col("unit") == "g") & (F.col("quantity") * 40 >= 1000), "kg").when((F.col("unit") == "ml") & (F.col("quantity") * 40 >= 1000), "l").otherwise(F.col("unit")), "CASE WHEN unit = 'g' AND quantity * 40 >= 1000 THEN 'kg' WHEN unit = 'ml' AND quantity * 40 >= 1000 THEN 'l' ELSE unit END")
 on("NUM-38_detail_format", "foods", "id", lambda: F.when(F.col("fiber") == 0, "—").when(F.col("fiber") < 0.1, "<0.1").otherwise(F.format_string("%.1f", "fiber")), "CASE WHEN fiber = 0 THEN '—' WHEN fiber < 0.1 THEN '<0.1' ELSE printf('%.1f', fiber) END")
 
 # --- time ---

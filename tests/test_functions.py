@@ -62,3 +62,12 @@ def test_stream_equals_batch(spark, tmp_path):
     run = snapshot(stream).writeStream.outputMode("complete").format("memory").queryName("snap").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("snap").collect())) == sorted(map(tuple, snapshot(events).collect()))
+
+
+def test_schedule_shares_the_active_lane(spark):
+    from galley.operators.quantities import schedule
+
+    rows = [(1, 1, 10.0, False, "main"), (1, 2, 30.0, True, "main"), (1, 3, None, False, "sauce"), (1, 4, 5.0, True, "sauce")]
+    got = schedule(spark.createDataFrame(rows, "rid long, pos int, minutes double, passive boolean, sub_recipe string").withColumn("produces", F.lit("x"))).collect()
+    # each step uses the one before and that of half its position
+    assert sorted((r.pos, r.lane, r.start, r.end) for r in got) == [(1, "you", 0.0, 10.0), (2, "main", 10.0, 40.0), (3, "you", 40.0, 43.0), (4, "sauce", 43.0, 48.0)]
