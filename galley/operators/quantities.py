@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,24 +83,21 @@ def schedule(steps: DataFrame) -> DataFrame:
     """Start and end of every step: after what it uses, and after the last step of its lane.
 
     Active steps share one lane, passive ones have their sub-recipe's. The order in which lanes fill matters, so
-    each recipe is scheduled on its own rows; a missing duration counts three minutes.
+    each recipe's rows are folded in order of position; a missing duration counts three minutes.
     """
     uses = edges(steps).groupBy("rid", "pos").agg(F.collect_set("to_pos").alias("uses"))
-    rows = steps.join(uses, ["rid", "pos"], "left").select("rid", "pos", F.coalesce("minutes", F.lit(3.0)).alias("m"), "passive", "sub_recipe", F.coalesce("uses", F.array().cast("array<int>")).alias("uses"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        end: dict[int, float] = {}
-        lanes: dict[str, float] = {}
-        out = []
-        for r in pdf.itertuples():
-            lane = r.sub_recipe if r.passive else "you"
-            start = max([0.0, lanes.get(lane, 0.0), *(end[u] for u in r.uses if u in end)])
-            end[r.pos] = lanes[lane] = start + r.m
-            out.append((r.rid, r.pos, lane, start, start + r.m))
-        return pd.DataFrame(out, columns=["rid", "pos", "lane", "start", "end"])
-
-    return rows.groupBy("rid").applyInPandas(one, "rid long, pos int, lane string, start double, end double")
+    lane = F.when(F.col("passive"), F.col("sub_recipe")).otherwise("you").alias("lane")
+    rows = steps.join(uses, ["rid", "pos"], "left").select("rid", F.struct("pos", F.coalesce("minutes", F.lit(3.0)).alias("m"), lane, F.coalesce("uses", F.array().cast("array<int>")).alias("uses")).alias("x"))
+    rows = rows.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("rows"))
+    state = "named_struct('ends', cast(map() as map<int,double>), 'lanes', cast(map() as map<string,double>), 'out', cast(array() as array<struct<pos:int,lane:string,start:double,end:double>>))"
+    fold = f"""aggregate(rows, {state}, (acc, x) -> transform(
+        array(greatest(0D, coalesce(acc.lanes[x.lane], 0D), coalesce(array_max(transform(x.uses, u -> acc.ends[u])), 0D))),
+        start -> named_struct(
+            'ends', map_concat(acc.ends, map(x.pos, start + x.m)),
+            'lanes', map_concat(map_filter(acc.lanes, (k, v) -> k <> x.lane), map(x.lane, start + x.m)),
+            'out', concat(acc.out, array(named_struct('pos', x.pos, 'lane', x.lane, 'start', start, 'end', start + x.m)))
+        ))[0])"""
+    return rows.select("rid", F.explode(F.expr(fold)["out"]).alias("x")).select("rid", "x.pos", "x.lane", "x.start", "x.end")
 
 
 add("GRF-2_schedule", lambda s, d: schedule(view(s, d, "steps")))
