@@ -29,7 +29,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote, once all that reads it has been written in turn."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -64,7 +74,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where(F.col("u") > F.col("v"))
             .distinct()
         )
-        pairs = materialize(small, "edges")
+        old, pairs = pairs, materialize(small, "edges")
+        discard(old)
         # rows and sum of pointers both stay the same only when nothing moved: pointers never grow
         now = tuple(pairs.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
         if now == before:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import connected_components, materialize
+from galley.llm.common import connected_components, discard, materialize
 from galley.llm.words import groups, mix, words
 from galley.tables import table
 
@@ -194,6 +194,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     least = next(u for u in range(1, 10**6) if den * (u - 1) >= num * u) - 1
     reps = sets.where(F.col("n_shingles") >= least).join(first, "doc_id", "left_semi").select("doc_id", "sketch", "bands", "bytes").dropDuplicates(["doc_id"])
     reps = materialize(reps, "reps")
+    whole, sets = sets, materialize(sets.select("doc_id", "n_shingles", "f1", "f2"), "sizes")
+    discard(whole)  # sketches and bands are with the classes now
     keys = reps.select("doc_id", F.explode("bands").alias("key")).where("key <> 0")
     # the leader of a bucket: not always the smallest, so that different bands have different leaders
     lead = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("lead"))
@@ -201,7 +203,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     star = keys.join(lead, "key").where(F.col("a") != F.col("doc_id")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
     of = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     near = star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(LEAST_ESTIMATE), "a bigint, b bigint")
-    clusters = materialize(connected_components(near), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    found = materialize(connected_components(near), "clusters")
+    clusters = found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sized = clusters.join(reps.select("doc_id", "bytes"), "doc_id")
     blocks = sized.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
@@ -213,8 +216,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     parts = with_block.withColumn("other", other).where((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
     parts = parts.select("doc_id", "cluster", "blocks", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("part"))
     bodies = texts.join(clusters.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(parts, "doc_id")
-    found = bodies.select("cluster", "part", "doc_id", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    links = materialize(found.mapInArrow(_linked(k, num, den), "a bigint, b bigint"), "links")
+    grouped = bodies.select("cluster", "part", "doc_id", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+    links = materialize(grouped.mapInArrow(_linked(k, num, den), "a bigint, b bigint"), "links")
+    discard(reps, found)
     near = connected_components(links).select(F.col("node").alias("class"), "component")
     classes = classes.join(near, "class", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class").alias("component"))
     return sets.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left").select(
