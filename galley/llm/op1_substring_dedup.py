@@ -6,10 +6,11 @@ chance of 99.7 %. Repeated passages need not begin where a paragraph does, so wi
 cut as well, at places that the words themselves choose (winnowing): every passage of WINDOW + GAP - 1 = 51
 words or more holds a window that is cut alike wherever the passage stands.
 
-Passages with a common key are joined to one of them, never to each other. Equal windows and equal
-paragraphs need no more; other paragraph pairs are verified by the exact Jaccard of their shingle sets.
-Verified paragraphs form connected components. The first passage of each component or window class, by
-(doc_id, position), stays; the others are removed, and overlapping removals are joined.
+Equal paragraphs fold into one class. Within a band's bucket all pairs of classes are compared by the exact
+Jaccard of their shingle sets, until the bucket is one component; buckets too large for a task are cut into
+blocks, and each pair of blocks is one task. Buckets of equal members are compared once. Verified paragraphs
+form connected components. The first passage of each component or window class, by (doc_id, position), stays;
+the others are removed, and overlapping removals are joined.
 
 Only passages that stand in two documents at least are taken. Defined results: null and empty texts have no
 passages; equal rows share a doc_id and count as one document; rows with a null doc_id take no part.
@@ -25,14 +26,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.llm.common import connected_components, discard, materialize
-from galley.llm.words import Words, mix, words
+from galley.llm.op5_hyperminhash import links_within
+from galley.llm.words import Words, groups, mix, words
 from galley.tables import table
 
 SHINGLE = 5
 LEAST = 25  # words of a paragraph
 WINDOW, GAP = 24, 28
 BANDS, ROWS = 8, 3
-JACCARD = 0.8
+NUM, DEN = 4, 5  # the least Jaccard
+#: Paragraphs and words that one task compares.
+BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 20
 _TOP = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -81,7 +85,11 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, n))
 
 
+PASSAGES = "key bigint, doc_id bigint, start int, words int, exact bigint, bands array<bigint>"
+
+
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with their key (exact 0, no bands), and paragraphs with the hash of their words and their band keys."""
     for batch in batches:
         ids = batch["doc_id"].to_numpy(zero_copy_only=False)
         for w in words(batch["text"]):
@@ -89,7 +97,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, key = anchors(w)
                 start, size = paragraphs(w)
                 long = size >= LEAST
-                rows = [(at, np.full(len(at), WINDOW), key, np.zeros(len(at), np.int64))]
+                s, z = start[long], size[long]
+                exact, bands = np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64)
                 if long.any():
                     sh, _ = w.shingles(SHINGLE)
                     rest = np.repeat(start + size, size) - np.arange(len(sh))
@@ -97,40 +106,93 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     place = np.arange(len(sh)) - np.repeat(start, size)
                     exact = np.add.reduceat(mix(w.hashes + place.astype(np.uint64)), start)[long].view(np.int64)
                     exact = np.where(exact == 0, 1, exact)
-                    s, z = start[long], size[long]
+                    bands = np.empty((len(s), BANDS), np.uint64)
                     for band in range(BANDS):
-                        key = np.full(len(s), np.uint64(band + 1))
+                        keys = np.full(len(s), np.uint64(band + 1))
                         for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
                             v = mix(sh ^ seed)
                             v[crossing] = _TOP
-                            key = mix(key * np.uint64(31) + np.minimum.reduceat(v, start)[long])
-                        rows.append((s, z, key, exact))
-            position, size, key, exact = (np.concatenate(x) for x in zip(*rows, strict=True))
+                            keys = mix(keys * np.uint64(31) + np.minimum.reduceat(v, start)[long])
+                        bands[:, band] = keys
+            position = np.concatenate([at, s])
             text = np.searchsorted(w.first, position, "right") - 1
+            none, some = np.zeros(len(at), np.int64), np.zeros(len(s), np.int64)
+            cuts = np.concatenate([none, np.arange(len(s) + 1) * BANDS]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[w.row + text].astype(np.int64)), pa.array((position - w.first[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(exact)],
-                names=["key", "doc_id", "start", "words", "exact"],
+                [
+                    pa.array(np.concatenate([key.view(np.int64), some])),
+                    pa.array(ids[w.row + text].astype(np.int64)),
+                    pa.array((position - w.first[text]).astype(np.int32)),
+                    pa.array(np.concatenate([none + WINDOW, z]).astype(np.int32)),
+                    pa.array(np.concatenate([none, exact])),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(bands.ravel().view(np.int64))),
+                ],
+                names=["key", "doc_id", "start", "words", "exact", "bands"],
             )
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the listed paragraphs (start, words) of each text."""
+    """Shingle sets of the listed paragraphs (start, words, exact) of each text."""
     for batch in batches:
-        wanted, ids = batch["wanted"].to_pylist(), batch["doc_id"].to_pylist()
-        out = []
+        wanted = batch["wanted"].to_pylist()
         for w in words(batch["text"]):
             with np.errstate(over="ignore"):
                 sh, _ = w.shingles(SHINGLE)
+            out = []
             for i in range(len(w)):
                 for x in wanted[w.row + i]:
                     a = w.first[i] + x["start"]
-                    out.append((ids[w.row + i], x["start"], np.unique(sh[a : a + x["words"] - SHINGLE + 1]).view(np.int64)))
-        d, s, v = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(list(v), pa.list_(pa.int64()))], names=["doc_id", "start", "shingles"])
-
-
-def _node(doc: str, start: str):
-    return F.xxhash64(doc, start)
+                    out.append((x["exact"], np.unique(sh[a : a + x["words"] - SHINGLE + 1]).view(np.int64)))
+            e, v = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(list(v), pa.list_(pa.int64()))], names=["exact", "shingles"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links (a, b) of each (key, part)'s paragraphs, all pairs considered."""
+    for group in groups(batches, ["key", "part"]):
+        exact, sets = group["exact"].to_numpy(), group["shingles"].combine_chunks()
+        if isinstance(sets, pa.ChunkedArray):
+            sets = pa.concat_arrays(sets.chunks)
+        cuts, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        order = np.argsort(exact)
+        pairs = links_within([flat[cuts[i] : cuts[i + 1]] for i in order.tolist()], NUM, DEN)
+        a, b = (np.array([exact[order[p[x]]] for p in pairs], np.int64) for x in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _paragraph_links(texts: DataFrame, paras: DataFrame) -> DataFrame:
+    """(a, b): spanning links of the paragraph classes (exact) that share a band and are alike."""
+    keys = paras.select("exact", "words", F.explode("bands").alias("key"))
+    mixed = keys.groupBy("key").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least < most").select("key")
+    members = materialize(keys.join(mixed, "key").distinct(), "members")
+    # buckets of the same members, as the bands of close copies are, count as one
+    sized = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.col("words").cast("long")).alias("words"),
+        F.bit_xor(F.xxhash64("exact")).alias("x"), F.bit_xor(F.xxhash64("exact", F.lit(1))).alias("y"),
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    once = sized.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))
+    mine = members.join(once, "key").withColumn("block", F.pmod(F.xxhash64("exact"), F.col("blocks")).cast("int"))
+    # one part for each pair of blocks: numbered low * blocks + high
+    parts = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
+    parts = parts.select("exact", "key", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("part"))
+    one = paras.join(members.select("exact").distinct(), "exact", "left_semi").groupBy("exact").agg(F.min(F.struct("doc_id", "start", "words")).alias("at"))
+    wanted = one.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.words", "exact")).alias("wanted"))
+    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+    sets = materialize(sets.mapInArrow(_shingle_sets, "exact bigint, shingles array<bigint>"), "shingles")
+    grouped = parts.join(sets, "exact").select("key", "part", "exact", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
+    links = materialize(grouped.mapInArrow(_linked, "a bigint, b bigint"), "links")
+    discard(members, sets)
+    return links
+
+
+def _repeated_paragraphs(texts: DataFrame, paras: DataFrame) -> DataFrame:
+    """(doc_id, start, words, exact, first): the paragraphs of components in two documents or more, but the first of each."""
+    comps = connected_components(_paragraph_links(texts, paras)).select(F.col("node").alias("exact"), "component")
+    placed = paras.select("doc_id", "start", "words", "exact").join(comps, "exact", "left").withColumn("component", F.coalesce("component", "exact"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start", "exact")).alias("first"), F.max("doc_id").alias("most"))
+    lines = placed.join(first.where(F.col("most") > F.col("first.doc_id")), "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    return lines.select("doc_id", "start", "words", "exact", "first").distinct()
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -139,31 +201,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text. Words are counted from 0 in their text.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_passages, "key bigint, doc_id bigint, start int, words int, exact bigint")
-    rows = materialize(rows, "passages")
-    me = F.struct("doc_id", "start", "words", "exact")
-    lead = rows.groupBy("key").agg(F.min(me).alias("lead"), F.max("doc_id").alias("most")).where(F.col("most") > F.col("lead.doc_id")).drop("most")
-    hits = rows.join(lead, "key").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("start") != F.col("lead.start")))
-    hits = hits.select("doc_id", "start", "words", "exact", "lead.doc_id", "lead.start", "lead.words", "lead.exact").toDF("doc_id", "start", "words", "exact", "to_id", "to_start", "to_words", "to_exact")
-    hits = materialize(hits.distinct(), "hits")
+    rows = materialize(texts.mapInArrow(_passages, PASSAGES), "passages")
+    lines = materialize(_repeated_paragraphs(texts, rows.where("exact <> 0").drop("key")), "lines")
+    wins = rows.where("exact = 0").select("key", "doc_id", "start", "words")
+    lead = wins.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("lead"), F.max("doc_id").alias("most")).where(F.col("most") > F.col("lead.doc_id")).drop("most")
+    hits = wins.join(lead, "key").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("start") != F.col("lead.start")))
+    windows = materialize(hits.select("doc_id", "start", "words", F.col("lead.doc_id").alias("to_id")).distinct(), "windows")
     discard(rows)
-    windows = hits.where("exact = 0").select("doc_id", "start", "words", "to_id")
-
-    pairs = hits.where("exact <> 0").withColumns({"a": _node("doc_id", "start"), "b": _node("to_id", "to_start")})
-    differ = pairs.where("exact <> to_exact")
-    ends = differ.select("doc_id", "start", "words").unionByName(differ.select(F.col("to_id").alias("doc_id"), F.col("to_start").alias("start"), F.col("to_words").alias("words")))
-    wanted = ends.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("wanted"))
-    sets = texts.dropDuplicates(["doc_id"]).join(wanted, "doc_id").mapInArrow(_shingle_sets, "doc_id bigint, start int, shingles array<bigint>")
-    sets = materialize(sets.select(_node("doc_id", "start").alias("node"), "shingles"), "shingles")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = differ.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(both >= JACCARD * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    links = pairs.where("exact = to_exact").select("a", "b").unionByName(alike)
-    comps = materialize(connected_components(links), "components")
-    places = pairs.select(F.col("a").alias("node"), "doc_id", "start", "words").unionByName(pairs.select(F.col("b").alias("node"), F.col("to_id").alias("doc_id"), F.col("to_start").alias("start"), F.col("to_words").alias("words")))
-    placed = materialize(places.distinct().join(comps, "node"), "placed")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    lines = placed.join(first, "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     removed = windows.unionByName(lines.select("doc_id", "start", "words", F.col("first.doc_id").alias("to_id")))
 
     end = F.col("start") + F.col("words")

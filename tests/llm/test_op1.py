@@ -76,3 +76,33 @@ def test_short_texts(spark, n):
     t = " ".join("s%d" % i for i in range(n))
     got = repeated_passages(spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")).count()
     assert got == (1 if n >= WINDOW else 0)
+
+
+def test_alike_paragraphs_among_hundreds_of_template_strangers(spark):
+    # strangers fill three places of a template of 120 words and are alike at 0.785, pairs at 0.81
+    r = random.Random(11)
+    template = ["t%d" % i for i in range(120)]
+
+    def filled():
+        w = list(template)
+        for at in (3, 20, 37):
+            w[at] = "own%d" % r.randrange(10**9)
+        return w
+
+    rows, pairs = [(i, " ".join(filled())) for i in range(300)], set()
+    for i in range(300, 360, 2):
+        w = filled()
+        v = list(w)
+        for at in (60, 61, 90, 119):
+            v[at] = "edited%d_%d" % (i, at)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+        pairs.add((i, i + 1))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(jaccard(*p) >= 0.8 for p in pairs)
+    alike = [jaccard(a, b) for a in range(0, 300, 9) for b in range(a)]
+    assert 0.6 < min(alike) and max(alike) < 0.8
+    runs = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {x.doc_id for x in runs if (x.start_word, x.n_words) == (0, 120)}
+    assert whole <= {b for _, b in pairs}
+    assert len(whole) >= 0.9 * len(pairs)
