@@ -9,10 +9,15 @@ words or more holds a window that is cut alike wherever the passage stands.
 Equal paragraphs fold into one class. Within a band's bucket all pairs of classes are compared by the exact
 Jaccard of their shingle sets, until the bucket is one component; buckets too large for a task are cut into
 blocks, and each pair of blocks is one task. Buckets of equal members are compared once. Verified paragraphs
-form connected components. The first passage of each component or window class, by (doc_id, position), stays;
-the others are removed, and overlapping removals are joined.
+form connected components; the first of each, by (doc_id, position), stays and the others are removed.
 
-Only passages that stand in two documents at least are taken. Defined results: null and empty texts have no
+Windows follow, of what paragraphs left: a window's copies are removed in favour of the first place, by
+(doc_id, position), that touches no removed paragraph. Each hit is grown word by word, to both sides, to the
+longest match with the text of that place, but not into a paragraph removed there. Rows of
+one document may overlap, as far as different copies stay; a row contained in another one is left out.
+
+Only passages that stand in two documents at least are taken. A removed paragraph that is alike but not equal to
+the one that stays names its document, also where a repeated passage is later cut from that one. Defined results: null and empty texts have no
 passages; equal rows share a doc_id and count as one document; rows with a null doc_id take no part.
 """
 
@@ -195,26 +200,112 @@ def _repeated_paragraphs(texts: DataFrame, paras: DataFrame) -> DataFrame:
     return lines.select("doc_id", "start", "words", "exact", "first").distinct()
 
 
+PIECE = "doc_id bigint, start int, n int, to_id bigint, to_start int"
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words the two have in common from their beginning on."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, step * 2
+    return n
+
+
+def _pieces(a: np.ndarray, b: np.ndarray, hits: list[dict], gone: list[dict], same: bool) -> Iterator[tuple[int, int, int]]:
+    """(start, words, start of the source) of the longest matches of text ``a`` with ``b`` around the hits.
+
+    Sources reach into no interval of ``gone``. Within one text (``same``) a match longer than its distance
+    is dealt into copies of its first source, so that no source overlaps its copy.
+    """
+    done: dict[int, int] = {}
+    for x in sorted(hits, key=lambda x: x["start"]):
+        i, j = x["start"], x["to_start"]
+        if i + WINDOW <= done.get(i - j, -1) or not np.array_equal(a[i : i + WINDOW], b[j : j + WINDOW]):
+            continue
+        low = max((g["end"] for g in gone if g["end"] <= j), default=0)
+        high = min((g["start"] for g in gone if g["start"] >= j + WINDOW), default=len(b))
+        left = _same(a[:i][::-1], b[low:j][::-1])
+        right = _same(a[i:], b[j:high])
+        done[i - j] = i + right
+        at, n = i - left, left + right
+        step = i - j if same else n
+        for k in range(0, n, step):
+            yield at + k, min(step, n - k), j - left
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, to = batch["doc_id"].to_pylist(), batch["to_id"].to_pylist()
+        hits, gone = batch["hits"].to_pylist(), batch["gone"].to_pylist()
+        # rows come sorted by to_id: a source's words are read once in a batch
+        news = [i for i in range(len(to)) if not i or to[i] != to[i - 1]]
+        sources = (w.hashes[w.first[k] : w.first[k + 1]] for w in words(batch["to_text"].take(pa.array(news, pa.int64()))) for k in range(len(w)))
+        b, out = None, []
+        for w in words(batch["text"]):
+            for k in range(len(w)):
+                i = w.row + k
+                if not i or to[i] != to[i - 1]:
+                    b = next(sources)
+                a = w.hashes[w.first[k] : w.first[k + 1]]
+                out += [(ids[i], start, n, to[i], source) for start, n, source in _pieces(a, b, hits[i], gone[i] or [], ids[i] == to[i])]
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "n", "to_id", "to_start"), x, strict=True)) for x in out], schema=_PIECE)
+
+
+_PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("to_id", pa.int64()), ("to_start", pa.int32())])
+
+
+def _uncontained(pieces: DataFrame, *more: str) -> DataFrame:
+    """``pieces`` without those that lie within another one of their document."""
+    end = F.col("start") + F.col("n")
+    before = Window.partitionBy("doc_id").orderBy("start", F.col("n").desc(), "to_id", *more).rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("upto", F.coalesce(F.max(end).over(before), F.lit(-1))).where(end > F.col("upto")).drop("upto")
+
+
+def _window_hits(wins: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, start, to_id, to_start): windows and the first place of each, of what removed paragraphs left."""
+    two = wins.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    inside = lambda g: (g["start"] <= F.col("start")) & (g["end"] >= F.col("start") + WINDOW)
+    touched = lambda g: (g["start"] < F.col("start") + WINDOW) & (g["end"] > F.col("start"))
+    left = wins.join(two, "key").distinct().join(gone, "doc_id", "left").where(~F.coalesce(F.exists("gone", inside), F.lit(False)))
+    left = materialize(left.select("key", "doc_id", "start", (~F.coalesce(F.exists("gone", touched), F.lit(False))).alias("whole")), "windows")
+    lead = left.groupBy("key").agg(F.min(F.when(F.col("whole"), F.struct("doc_id", "start"))).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lead = lead.where("low < high and lead is not null").select("key", "lead")
+    later = (F.col("doc_id") > F.col("lead.doc_id")) | ((F.col("doc_id") == F.col("lead.doc_id")) & (F.col("start") >= F.col("lead.start") + WINDOW))
+    return left.join(lead, "key").where(later).select("doc_id", "start", F.col("lead.doc_id").alias("to_id"), F.col("lead.start").alias("to_start"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id): the passages to remove, and whose copy stays.
 
-    ``docs`` has doc_id and text. Words are counted from 0 in their text.
+    ``docs`` has doc_id and text. Words are counted from 0 in their text. Rows of a document may overlap.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(texts.mapInArrow(_passages, PASSAGES), "passages")
     lines = materialize(_repeated_paragraphs(texts, rows.where("exact <> 0").drop("key")), "lines")
-    wins = rows.where("exact = 0").select("key", "doc_id", "start", "words")
-    lead = wins.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("lead"), F.max("doc_id").alias("most")).where(F.col("most") > F.col("lead.doc_id")).drop("most")
-    hits = wins.join(lead, "key").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("start") != F.col("lead.start")))
-    windows = materialize(hits.select("doc_id", "start", "words", F.col("lead.doc_id").alias("to_id")).distinct(), "windows")
-    discard(rows)
-    removed = windows.unionByName(lines.select("doc_id", "start", "words", F.col("first.doc_id").alias("to_id")))
 
+    # removed paragraphs of each document, adjacent ones joined
     end = F.col("start") + F.col("words")
-    before = Window.partitionBy("doc_id").orderBy("start", "words", "to_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("start", "words", "to_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = removed.withColumn("new", (F.coalesce(F.max(end).over(before), F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(upto))
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max(end) - F.min("start")).alias("n_words"), F.min("to_id").alias("kept_doc_id")).drop("run")
+    order = Window.partitionBy("doc_id").orderBy("start", "words")
+    new = (F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("start")).cast("int")
+    runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"))
+    gone = materialize(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+
+    hits = _window_hits(rows.where("exact = 0").select("key", "doc_id", "start"), gone)
+    hits = materialize(hits.groupBy("doc_id", "to_id").agg(F.collect_list(F.struct("start", "to_start")).alias("hits")), "hits")
+    discard(rows)
+    one = texts.dropDuplicates(["doc_id"])
+    pairs = hits.join(one, "doc_id").join(one.toDF("to_id", "to_text"), "to_id").join(gone.withColumnRenamed("doc_id", "to_id"), "to_id", "left")
+    grown = pairs.select("doc_id", "to_id", "hits", "gone", "text", "to_text").sortWithinPartitions("to_id").mapInArrow(_grown, PIECE)
+    equal = lines.where("exact = first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"), F.col("first.start").alias("to_start"))
+    pieces = materialize(_uncontained(grown.unionByName(equal).distinct(), "to_start"), "pieces")
+    discard(hits)
+    alike = lines.where("exact <> first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"))
+    found = _uncontained(pieces.select("doc_id", "start", "n", "to_id").unionByName(alike))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("to_id").alias("kept_doc_id"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +321,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data, at, parts = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes(), 0, []
                 for x in sorted(runs[row], key=lambda x: x["start_word"]):
                     a, b = w.first[i] + x["start_word"], w.first[i] + x["start_word"] + x["n_words"] - 1
-                    parts.append(data[at : w.start[a] - w.offsets[i]])
-                    at = int(w.end[b] - w.offsets[i])
+                    parts.append(data[at : max(at, w.start[a] - w.offsets[i])])
+                    at = max(at, int(w.end[b] - w.offsets[i]))
                 out.append(b"".join([*parts, data[at:]]).decode())
         yield pa.RecordBatch.from_arrays([batch["__row"], pa.array(out, pa.string())], names=["__row", "text"])
 

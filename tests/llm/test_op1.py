@@ -106,3 +106,28 @@ def test_alike_paragraphs_among_hundreds_of_template_strangers(spark):
     whole = {x.doc_id for x in runs if (x.start_word, x.n_words) == (0, 120)}
     assert whole <= {b for _, b in pairs}
     assert len(whole) >= 0.9 * len(pairs)
+
+
+def shown(spark, rows):
+    """(rows found, texts after removal), held against brute force: what a row removes still stands in the document it names."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = repeated_passages(df)
+    found, after = runs.collect(), {r.doc_id: r.text.split() for r in remove_passages(df, runs).collect()}
+    for r in found:
+        passage, left = dict(rows)[r.doc_id].split()[r.start_word : r.start_word + r.n_words], after[r.kept_doc_id]
+        assert any(left[i : i + len(passage)] == passage for i in range(len(left) - len(passage) + 1)), r
+    return found, after
+
+
+@pytest.mark.parametrize("n", [51, 80, 200])
+def test_a_shared_passage_is_removed_whole(spark, n):
+    r = random.Random(n)
+    own = lambda k: ["o%d" % r.randrange(10**9) for _ in range(k)]
+    rows, bodies = [], {}
+    for i in range(0, 20, 2):
+        passage, bodies[i + 1] = own(n), own(70)
+        rows.append((i, " ".join([*own(40), *passage, *own(90)])))
+        rows.append((i + 1, " ".join([*bodies[i + 1][:33], *passage, *bodies[i + 1][33:]])))
+    found, after = shown(spark, rows)
+    assert {(x.doc_id, x.start_word, x.n_words, x.kept_doc_id) for x in found} == {(i, 33, n, i - 1) for i in bodies}
+    assert all(after[i] == bodies[i] for i in bodies)
