@@ -13,7 +13,8 @@ form connected components; the first of each, by (doc_id, position), stays and t
 
 Windows follow, of what paragraphs left: a window's copies are removed in favour of the first place, by
 (doc_id, position), that touches no removed paragraph. Each hit is grown word by word, to both sides, to the
-longest match with the text of that place, but not into a paragraph removed there. Rows of
+longest match with the text of that place, but not into a paragraph removed there. A copy always stands after
+its source, so where a source is itself removed, what was taken from it is traced to where that stays. Rows of
 one document may overlap, as far as different copies stay; a row contained in another one is left out.
 
 Only passages that stand in two documents at least are taken. A removed paragraph that is alike but not equal to
@@ -257,6 +258,26 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("to_id", pa.int64()), ("to_start", pa.int32())])
 
 
+def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces whose source is partly removed: what stays of it, and the rest with the source's own source."""
+    for batch in batches:
+        out = []
+        for x in batch.to_pylist():
+            low, high, at = x["to_start"], x["to_start"] + x["n"], x["to_start"]
+            place = lambda a, b, to, to_start: {"doc_id": x["doc_id"], "start": x["start"] + a - low, "n": b - a, "to_id": to, "to_start": to_start}  # noqa: B023, E731
+            for g in sorted(x["cut"], key=lambda g: g["start"]):
+                a, b = max(low, g["start"]), min(high, g["start"] + g["n"])
+                if a >= b:
+                    continue
+                if a > at:
+                    out.append(place(at, a, x["to_id"], at))
+                out.append(place(a, b, g["to_id"], g["to_start"] + a - g["start"]))
+                at = max(at, b)
+            if at < high:
+                out.append(place(at, high, x["to_id"], at))
+        yield pa.RecordBatch.from_pylist(out, schema=_PIECE)
+
+
 def _uncontained(pieces: DataFrame, *more: str) -> DataFrame:
     """``pieces`` without those that lie within another one of their document."""
     end = F.col("start") + F.col("n")
@@ -302,7 +323,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     grown = pairs.select("doc_id", "to_id", "hits", "gone", "text", "to_text").sortWithinPartitions("to_id").mapInArrow(_grown, PIECE)
     equal = lines.where("exact = first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"), F.col("first.start").alias("to_start"))
     pieces = materialize(_uncontained(grown.unionByName(equal).distinct(), "to_start"), "pieces")
-    discard(hits)
+    while True:
+        # sources lie before their copies, so every piece comes to where its words stay
+        cut = pieces.groupBy(F.col("doc_id").alias("to_id")).agg(F.collect_list(F.struct("start", "n", "to_id", "to_start")).alias("cut"))
+        lost = lambda g: (g["start"] < F.col("to_start") + F.col("n")) & (g["start"] + g["n"] > F.col("to_start"))
+        marked = pieces.join(cut, "to_id", "left").withColumn("cut", F.coalesce(F.filter("cut", lost), F.array()))
+        marked = materialize(marked, "marked")
+        if marked.where(F.size("cut") > 0).isEmpty():
+            break
+        traced = marked.where(F.size("cut") > 0).select("doc_id", "start", "n", "to_id", "to_start", "cut").mapInArrow(_traced, PIECE)
+        traced = marked.where(F.size("cut") == 0).drop("cut").unionByName(traced).distinct()
+        old, pieces = pieces, materialize(_uncontained(traced, "to_start"), "pieces")
+        discard(old, marked)
+    discard(hits, marked)
     alike = lines.where("exact <> first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"))
     found = _uncontained(pieces.select("doc_id", "start", "n", "to_id").unionByName(alike))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("to_id").alias("kept_doc_id"))

@@ -131,3 +131,26 @@ def test_a_shared_passage_is_removed_whole(spark, n):
     found, after = shown(spark, rows)
     assert {(x.doc_id, x.start_word, x.n_words, x.kept_doc_id) for x in found} == {(i, 33, n, i - 1) for i in bodies}
     assert all(after[i] == bodies[i] for i in bodies)
+
+
+def test_every_removed_passage_stays_where_its_row_says(spark):
+    r = random.Random(8)
+    own = lambda k: ["o%d" % r.randrange(10**9) for _ in range(k)]
+    line, passage, p, q = own(700), own(60), own(90), own(90)
+    rows = [(0, line), (1, [*line[:300], *passage, *line[300:]]), (2, [*own(40), *passage, *own(40)])]
+    # 5 and 9 share all of p and q with each other, and a part of them with 3 and with 4
+    rows += [(3, [*own(30), *p[20:], *own(50)]), (4, [*own(30), *q[:70], *own(50)]), (5, [*own(35), *p, *q, *own(35)]), (9, [*own(45), *p, *q, *own(45)])]
+    rows += [(10, ["z"] * 100), (11, [*own(40), *["z"] * 150]), (12, own(60) * 3), (13, own(30))]
+    rows += [(14, [*rows[9][1], *own(40)])]
+    before = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame(before, "doc_id long, text string")
+    runs = repeated_passages(df)
+    found, after = runs.collect(), {x.doc_id: " ".join(x.text.split()) for x in remove_passages(df, runs).collect()}
+    assert (1, 0, 760, 0) in {(x.doc_id, x.start_word, x.n_words, x.kept_doc_id) for x in found}
+    assert " ".join(passage) in after[2]
+    for x in found:
+        if x.doc_id != 1:  # alike to 0, not equal
+            w = dict(rows)[x.doc_id][x.start_word : x.start_word + x.n_words]
+            assert " ".join(w) in after[x.kept_doc_id], x
+    kept = set(" ".join(after.values()).split())
+    assert {w for i, words in rows for w in words} <= kept
