@@ -17,7 +17,8 @@ longest match with the text of that place, but not into a paragraph removed ther
 its source, so where a source is itself removed, what was taken from it is traced to where that stays. Rows of
 one document may overlap, as far as different copies stay; a row contained in another one is left out.
 
-Only passages that stand in two documents at least are taken. A removed paragraph that is alike but not equal to
+Only passages that stand in two documents at least are taken, and none is taken from the first document that holds
+it: what a text repeats within itself stays where no earlier document has it. A removed paragraph that is alike but not equal to
 the one that stays names its document, also where a repeated passage is later cut from that one. Defined results: null and empty texts have no
 passages; equal rows share a doc_id and count as one document; rows with a null doc_id take no part.
 """
@@ -168,9 +169,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _paragraph_links(texts: DataFrame, paras: DataFrame) -> DataFrame:
     """(a, b): spanning links of the paragraph classes (exact) that share a band and are alike."""
-    keys = paras.select("exact", "words", F.explode("bands").alias("key"))
+    keys = paras.select("exact", "words", "bands").distinct().select("exact", "words", F.explode("bands").alias("key"))
     mixed = keys.groupBy("key").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least < most").select("key")
-    members = materialize(keys.join(mixed, "key").distinct(), "members")
+    members = materialize(keys.distinct().join(mixed, "key"), "members")
     # buckets of the same members, as the bands of close copies are, count as one
     sized = members.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(F.col("words").cast("long")).alias("words"),
@@ -197,7 +198,7 @@ def _repeated_paragraphs(texts: DataFrame, paras: DataFrame) -> DataFrame:
     comps = connected_components(_paragraph_links(texts, paras)).select(F.col("node").alias("exact"), "component")
     placed = paras.select("doc_id", "start", "words", "exact").join(comps, "exact", "left").withColumn("component", F.coalesce("component", "exact"))
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start", "exact")).alias("first"), F.max("doc_id").alias("most"))
-    lines = placed.join(first.where(F.col("most") > F.col("first.doc_id")), "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    lines = placed.join(first.where(F.col("most") > F.col("first.doc_id")), "component").where(F.col("doc_id") != F.col("first.doc_id"))
     return lines.select("doc_id", "start", "words", "exact", "first").distinct()
 
 
@@ -215,11 +216,10 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
-def _pieces(a: np.ndarray, b: np.ndarray, hits: list[dict], gone: list[dict], same: bool) -> Iterator[tuple[int, int, int]]:
+def _pieces(a: np.ndarray, b: np.ndarray, hits: list[dict], gone: list[dict]) -> Iterator[tuple[int, int, int]]:
     """(start, words, start of the source) of the longest matches of text ``a`` with ``b`` around the hits.
 
-    Sources reach into no interval of ``gone``. Within one text (``same``) a match longer than its distance
-    is dealt into copies of its first source, so that no source overlaps its copy.
+    Sources reach into no interval of ``gone``.
     """
     done: dict[int, int] = {}
     for x in sorted(hits, key=lambda x: x["start"]):
@@ -231,10 +231,7 @@ def _pieces(a: np.ndarray, b: np.ndarray, hits: list[dict], gone: list[dict], sa
         left = _same(a[:i][::-1], b[low:j][::-1])
         right = _same(a[i:], b[j:high])
         done[i - j] = i + right
-        at, n = i - left, left + right
-        step = i - j if same else n
-        for k in range(0, n, step):
-            yield at + k, min(step, n - k), j - left
+        yield i - left, left + right, j - left
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +248,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not i or to[i] != to[i - 1]:
                     b = next(sources)
                 a = w.hashes[w.first[k] : w.first[k + 1]]
-                out += [(ids[i], start, n, to[i], source) for start, n, source in _pieces(a, b, hits[i], gone[i] or [], ids[i] == to[i])]
+                out += [(ids[i], start, n, to[i], source) for start, n, source in _pieces(a, b, hits[i], gone[i] or [])]
         yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "n", "to_id", "to_start"), x, strict=True)) for x in out], schema=_PIECE)
 
 
@@ -290,12 +287,11 @@ def _window_hits(wins: DataFrame, gone: DataFrame) -> DataFrame:
     two = wins.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     inside = lambda g: (g["start"] <= F.col("start")) & (g["end"] >= F.col("start") + WINDOW)
     touched = lambda g: (g["start"] < F.col("start") + WINDOW) & (g["end"] > F.col("start"))
-    left = wins.join(two, "key").distinct().join(gone, "doc_id", "left").where(~F.coalesce(F.exists("gone", inside), F.lit(False)))
+    left = wins.join(two, "key").join(gone, "doc_id", "left").where(~F.coalesce(F.exists("gone", inside), F.lit(False)))
     left = materialize(left.select("key", "doc_id", "start", (~F.coalesce(F.exists("gone", touched), F.lit(False))).alias("whole")), "windows")
     lead = left.groupBy("key").agg(F.min(F.when(F.col("whole"), F.struct("doc_id", "start"))).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     lead = lead.where("low < high and lead is not null").select("key", "lead")
-    later = (F.col("doc_id") > F.col("lead.doc_id")) | ((F.col("doc_id") == F.col("lead.doc_id")) & (F.col("start") >= F.col("lead.start") + WINDOW))
-    return left.join(lead, "key").where(later).select("doc_id", "start", F.col("lead.doc_id").alias("to_id"), F.col("lead.start").alias("to_start"))
+    return left.join(lead, "key").where(F.col("doc_id") > F.col("lead.doc_id")).select("doc_id", "start", F.col("lead.doc_id").alias("to_id"), F.col("lead.start").alias("to_start"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -316,7 +312,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     gone = materialize(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
 
     hits = _window_hits(rows.where("exact = 0").select("key", "doc_id", "start"), gone)
-    hits = materialize(hits.groupBy("doc_id", "to_id").agg(F.collect_list(F.struct("start", "to_start")).alias("hits")), "hits")
+    hits = materialize(hits.groupBy("doc_id", "to_id").agg(F.collect_set(F.struct("start", "to_start")).alias("hits")), "hits")
     discard(rows)
     one = texts.dropDuplicates(["doc_id"])
     pairs = hits.join(one, "doc_id").join(one.toDF("to_id", "to_text"), "to_id").join(gone.withColumnRenamed("doc_id", "to_id"), "to_id", "left")

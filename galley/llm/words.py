@@ -1,7 +1,7 @@
 """Words and word shingles of whole texts as numpy arrays, for use inside Arrow tasks.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased. Texts are read straight from
-Arrow's buffers, a MB at a time (a longer text alone), so memory does not follow the size of a batch.
+Arrow's buffers, 256 KB at a time (a longer text alone), so memory does not follow the size of a batch.
 Hashes are 64 bits wide: two different shingles meet with a chance of 2^-64.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BYTES = np.random.default_rng(20_260).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
