@@ -12,8 +12,9 @@ blocks, and each pair of blocks is one task. Buckets of equal members are compar
 form connected components; the first of each, by (doc_id, position), stays and the others are removed.
 
 Windows follow, of what paragraphs left: a window's copies are removed in favour of the first place, by
-(doc_id, position), that touches no removed paragraph. Each hit is grown word by word, to both sides, to the
-longest match with the text of that place, but not into a paragraph removed there. A copy always stands after
+(doc_id, position), that touches no removed paragraph. Hits of one document and diagonal form chains, which are
+compared word by word with the text of that place, MARGIN words beyond either end, but not with paragraphs removed
+there; only such stretches of the sources are shipped. Every run of WINDOW equal words or more is taken. A copy always stands after
 its source, so where a source is itself removed, what was taken from it is traced to where that stays. Rows of
 one document may overlap, as far as different copies stay; a row contained in another one is left out.
 
@@ -42,6 +43,9 @@ LEAST = 25  # words of a paragraph
 WINDOW, GAP = 24, 28
 BANDS, ROWS = 8, 3
 NUM, DEN = 4, 5  # the least Jaccard
+#: Hits at most CHAIN words apart are grown together, and compared MARGIN words beyond. Anchors of a match stand GAP
+#: words apart at most, so MARGIN only has to exceed that.
+CHAIN, MARGIN = 256, 64
 #: Paragraphs and words that one task compares.
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 20
 _TOP = np.uint64(2**64 - 1)
@@ -108,18 +112,17 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 exact, bands = np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64)
                 if long.any():
                     sh, _ = w.shingles(SHINGLE)
-                    rest = np.repeat(start + size, size) - np.arange(len(sh))
-                    crossing = rest < SHINGLE
                     place = np.arange(len(sh)) - np.repeat(start, size)
+                    inside = np.repeat(long, size) & (place + SHINGLE <= np.repeat(size, size))
+                    kept, first = sh[inside], np.append(0, np.cumsum(z - SHINGLE + 1))[:-1]
                     exact = np.add.reduceat(mix(w.hashes + place.astype(np.uint64)), start)[long].view(np.int64)
                     exact = np.where(exact == 0, 1, exact)
                     bands = np.empty((len(s), BANDS), np.uint64)
                     for band in range(BANDS):
                         keys = np.full(len(s), np.uint64(band + 1))
                         for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                            v = mix(sh ^ seed)
-                            v[crossing] = _TOP
-                            keys = mix(keys * np.uint64(31) + np.minimum.reduceat(v, start)[long])
+                            v = kept * (seed | np.uint64(1))  # shingles are mixed already; the high bits decide
+                            keys = mix(keys * np.uint64(31) + np.minimum.reduceat(v, first))
                         bands[:, band] = keys
             position = np.concatenate([at, s])
             text = np.searchsorted(w.first, position, "right") - 1
@@ -145,13 +148,15 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for w in words(batch["text"]):
             with np.errstate(over="ignore"):
                 sh, _ = w.shingles(SHINGLE)
-            out = []
+            e, v = [], []
             for i in range(len(w)):
                 for x in wanted[w.row + i]:
                     a = w.first[i] + x["start"]
-                    out.append((x["exact"], np.unique(sh[a : a + x["words"] - SHINGLE + 1]).view(np.int64)))
-            e, v = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(list(v), pa.list_(pa.int64()))], names=["exact", "shingles"])
+                    e.append(x["exact"])
+                    v.append(np.unique(sh[a : a + x["words"] - SHINGLE + 1]))
+            cuts = np.append(0, np.cumsum([len(x) for x in v])).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *v]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["exact", "shingles"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,53 +208,45 @@ def _repeated_paragraphs(texts: DataFrame, paras: DataFrame) -> DataFrame:
 
 
 PIECE = "doc_id bigint, start int, n int, to_id bigint, to_start int"
+SOURCE = "to_id bigint, low int, high int, source binary"
 
 
-def _same(x: np.ndarray, y: np.ndarray) -> int:
-    """How many words the two have in common from their beginning on."""
-    n, at, step = min(len(x), len(y)), 0, 64
-    while at < n:
-        differ = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = at + step, step * 2
-    return n
-
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes of the asked stretches (low, high) of each text; words of removed paragraphs are 0."""
+    for batch in batches:
+        ids, asked, gone = batch["to_id"].to_pylist(), batch["asked"].to_pylist(), batch["gone"].to_pylist()
+        for w in words(batch["text"]):
+            out = []
+            for k in range(len(w)):
+                own = w.hashes[w.first[k] : w.first[k + 1]].copy()
+                for g in gone[w.row + k] or []:
+                    own[g["start"] : g["end"]] = 0
+                out += [(ids[w.row + k], x["low"], x["high"], own[x["low"] : x["high"]].tobytes()) for x in asked[w.row + k]]
+            to, low, high, source = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(source, pa.binary())], names=["to_id", "low", "high", "source"])
 
-def _pieces(a: np.ndarray, b: np.ndarray, hits: list[dict], gone: list[dict]) -> Iterator[tuple[int, int, int]]:
-    """(start, words, start of the source) of the longest matches of text ``a`` with ``b`` around the hits.
 
-    Sources reach into no interval of ``gone``.
-    """
-    done: dict[int, int] = {}
-    for x in sorted(hits, key=lambda x: x["start"]):
-        i, j = x["start"], x["to_start"]
-        if i + WINDOW <= done.get(i - j, -1) or not np.array_equal(a[i : i + WINDOW], b[j : j + WINDOW]):
-            continue
-        low = max((g["end"] for g in gone if g["end"] <= j), default=0)
-        high = min((g["start"] for g in gone if g["start"] >= j + WINDOW), default=len(b))
-        left = _same(a[:i][::-1], b[low:j][::-1])
-        right = _same(a[i:], b[j:high])
-        done[i - j] = i + right
-        yield i - left, left + right, j - left
+def _pieces(a: np.ndarray, b: np.ndarray, at: int) -> list[tuple[int, int]]:
+    """(start, words) of the runs of WINDOW words or more of ``a`` that ``b``, laid at ``at``, has as well."""
+    low, high = max(0, at), min(len(a), at + len(b))
+    if high - low < WINDOW:
+        return []
+    same = np.concatenate([[False], a[low:high] == b[low - at : high - at], [False]])
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    return [(low + x, y - x) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if y - x >= WINDOW]
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, to = batch["doc_id"].to_pylist(), batch["to_id"].to_pylist()
-        hits, gone = batch["hits"].to_pylist(), batch["gone"].to_pylist()
-        # rows come sorted by to_id: a source's words are read once in a batch
-        news = [i for i in range(len(to)) if not i or to[i] != to[i - 1]]
-        sources = (w.hashes[w.first[k] : w.first[k + 1]] for w in words(batch["to_text"].take(pa.array(news, pa.int64()))) for k in range(len(w)))
-        b, out = None, []
+        ids, chains = batch["doc_id"].to_pylist(), batch["chains"]
         for w in words(batch["text"]):
+            out = []
             for k in range(len(w)):
-                i = w.row + k
-                if not i or to[i] != to[i - 1]:
-                    b = next(sources)
                 a = w.hashes[w.first[k] : w.first[k + 1]]
-                out += [(ids[i], start, n, to[i], source) for start, n, source in _pieces(a, b, hits[i], gone[i] or [])]
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "n", "to_id", "to_start"), x, strict=True)) for x in out], schema=_PIECE)
+                for x in chains[w.row + k].as_py():
+                    at = x["low"] + x["ahead"]
+                    out += [(ids[w.row + k], start, n, x["to_id"], start - x["ahead"]) for start, n in _pieces(a, np.frombuffer(x["source"], np.uint64), at)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], f.type) for c, f in enumerate(_PIECE)], schema=_PIECE)
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("to_id", pa.int64()), ("to_start", pa.int32())])
@@ -312,11 +309,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     gone = materialize(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
 
     hits = _window_hits(rows.where("exact = 0").select("key", "doc_id", "start"), gone)
-    hits = materialize(hits.groupBy("doc_id", "to_id").agg(F.collect_set(F.struct("start", "to_start")).alias("hits")), "hits")
+    # hits one behind the other, with as many words between in either text, are a chain
+    hits = hits.select("doc_id", "start", "to_id", (F.col("start") - F.col("to_start")).alias("ahead")).distinct()
+    along = Window.partitionBy("doc_id", "to_id", "ahead").orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("start").over(along) > CHAIN, F.lit(True)).cast("int")
+    hits = hits.withColumn("new", new).withColumn("chain", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = hits.groupBy("doc_id", "to_id", "ahead", "chain").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    low, high = F.greatest(F.lit(0), F.col("first") - F.col("ahead") - MARGIN), F.col("last") - F.col("ahead") + WINDOW + MARGIN
+    chains = materialize(chains.select("doc_id", "to_id", "ahead", low.alias("low"), high.alias("high")), "chains")
     discard(rows)
-    one = texts.dropDuplicates(["doc_id"])
-    pairs = hits.join(one, "doc_id").join(one.toDF("to_id", "to_text"), "to_id").join(gone.withColumnRenamed("doc_id", "to_id"), "to_id", "left")
-    grown = pairs.select("doc_id", "to_id", "hits", "gone", "text", "to_text").sortWithinPartitions("to_id").mapInArrow(_grown, PIECE)
+    asked = chains.groupBy("to_id").agg(F.collect_set(F.struct("low", "high")).alias("asked"))
+    one = lambda ids: texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sources = one(asked.select(F.col("to_id").alias("doc_id"))).withColumnRenamed("doc_id", "to_id").join(asked, "to_id").join(gone.withColumnRenamed("doc_id", "to_id"), "to_id", "left")
+    sources = materialize(sources.select("to_id", "text", "asked", "gone").mapInArrow(_sources, SOURCE), "sources")
+    mine = chains.join(sources, ["to_id", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("to_id", "ahead", "low", "source")).alias("chains"))
+    grown = one(chains.select("doc_id")).join(mine, "doc_id").select("doc_id", "text", "chains").mapInArrow(_grown, PIECE)
     equal = lines.where("exact = first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"), F.col("first.start").alias("to_start"))
     pieces = materialize(_uncontained(grown.unionByName(equal).distinct(), "to_start"), "pieces")
     while True:
@@ -331,7 +338,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         traced = marked.where(F.size("cut") == 0).drop("cut").unionByName(traced).distinct()
         old, pieces = pieces, materialize(_uncontained(traced, "to_start"), "pieces")
         discard(old, marked)
-    discard(hits, marked)
+    discard(chains, sources, marked)
     alike = lines.where("exact <> first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"))
     found = _uncontained(pieces.select("doc_id", "start", "n", "to_id").unionByName(alike))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("to_id").alias("kept_doc_id"))
