@@ -38,26 +38,61 @@ def test_base_counts_and_held_out_bits(scored):
     held = [r for r in rows if r.held_out]
     size = sum(len(docs[r.doc_id].encode()) + 1 for r in held)
     assert -sum(r.score for r in held) / math.log10(2) / size < 2.6
+    assert all(r.score <= 0 and math.isfinite(r.score) for r in rows)
 
 
 def test_scores_equal_a_plain_version_and_are_a_distribution(spark):
     texts = [(i, "the cat sat on the mat and the cat ran " * 3 + str(i)) for i in range(40)]
-    mixer, _ = m.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    mixer, sums = m.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    counts = {(r.kind, r.key): r.n for r in sums.collect()}
+    joined = b"\0".join(t.encode() for _, t in texts) + b"\0"
+    assert sum(n for (k, _), n in counts.items() if k == m.GRAM) == len(joined)  # every byte of every training text
+    ones = sum(bin(x).count("1") for x in joined)
+    assert abs(float(mixer.counts[1].astype(float).sum()) - 6 * ones) < 0.01 * 6 * ones  # float16 rounds large counts
     with np.errstate(over="ignore"):
         whole = np.uint64(0x6361746361) << np.uint64(8) | np.arange(256, dtype=np.uint64)
-        assert np.allclose((2.0 ** -mixer.cost(whole)).sum(axis=0), 1)
-        for text in (b"", b"the cat", "the mät \x00 sat on".encode() * 9):
-            bits = float(mixer.texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
-            coded, total, level, general = text + b"\0", 0.0, 2, []
+        assert np.allclose((2.0 ** -mixer.cost(whole).astype(float)).sum(axis=0), 1, atol=1e-5)
+        for text in (b"", b"the cat", "the mät \x00 sat on".encode() * 90):
+            bits, keys, first = mixer.texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            coded, blocks, total = text + b"\0", [], []
+            place = 0  # in the chunk
             for i in range(len(coded)):
-                if i and i % m.BLOCK == 0:
-                    mean = sum(general) / len(general)
-                    level, general = 1 + sum(mean >= x for x in m.LEVELS), []
                 history = (b"\0" * m.ORDERS + coded)[i + 1 : i + 1 + m.ORDERS]
-                cost = mixer.cost(np.array([int.from_bytes(history, "big")], np.uint64))[0]
-                general.append(cost[0])
-                total += cost[level]
-            assert math.isclose(bits, total, rel_tol=1e-9)
+                gram = np.array([int.from_bytes(history, "big")], np.uint64)
+                if place == 0:
+                    total.append(0.0)
+                if place % m.BLOCK == 0:
+                    blocks.append([0.0, 0.0, len(total) - 1])
+                cost = mixer.cost(gram)[0]
+                blocks[-1][0] += float(cost[0])
+                blocks[-1][1] += float(cost[1])
+                place = 0 if int(m.mix(gram)[0]) % 2**m.CHUNK_BITS == 0 else place + 1
+            for i, (x, y, chunk) in enumerate(blocks):
+                before = blocks[max(0, i - m.MEMORY) : i]
+                share = 1 / (1 + 2 ** (sum(z[0] for z in before) - sum(z[1] for z in before)))
+                share = min(max(share, 1 / 64), 63 / 64)
+                total[chunk] -= math.log2(share * 2**-x + (1 - share) * 2**-y)
+            assert len(keys) == len(total) and list(first) == [0, len(total)]
+            assert np.allclose(bits, total, rtol=1e-6)
+
+
+def test_a_text_that_occurs_twice_is_scored_apart(spark):
+    rnd = np.random.default_rng(3)
+    vocab = ["".join(rnd.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    texts = [(i, " ".join(rnd.choice(vocab, 300)), i % 7 == 2) for i in range(200)]
+    texts += [(1000 + i, texts[i][1], False) for i in (0, 2, 9)]  # 2 and 9 are held out
+    df = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean")
+    rate = {r.doc_id: r.bits_per_byte for r in m.score(df, df.where("not held_out").select("doc_id", "text")).collect()}
+    twice = {0, 1000, 2, 9}
+    assert max(rate[i] for i in twice) < 0.5 * min(x for i, x in rate.items() if i not in twice | {1002, 1009})
+    assert rate[1002] > 2 * rate[2]  # the only copy that was learned from doesn't count for itself
+
+
+@pytest.mark.parametrize("n", [599, 600, 601])
+def test_no_size_changes_what_is_learned(spark, n):
+    df = spark.createDataFrame([(i, "aaab %d" % i) for i in range(n)], "doc_id long, text string")
+    _, sums = m.train(df)
+    assert sums.where(f"kind = {m.TOKEN}").agg({"n": "sum"}).first()[0] == 3 * n
 
 
 def test_edges(spark):
