@@ -55,6 +55,7 @@ END_TOKEN = np.uint64(0x5DEECE66D5DEECE6)
 TOKEN, GRAM, CHUNK = 0, 1, 2
 CACHE_BITS = 20
 _TAKE_UP = 1_000_000  # distinct keys that a task sums before it passes them on
+_TOGETHER = 150_000  # grams whose bits a task sums at once
 _STEPS = np.linspace(-8, 8, 33)
 _ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -260,22 +261,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, zeros, ones) of the grams of a partition."""
-    for batch in batches:
-        gram, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()
+    """(slot, zeros, ones) of the grams of a partition, _TOGETHER at a time."""
+    kept, size = [], 0
+
+    def summed() -> pa.RecordBatch:
+        gram, n = (np.concatenate(x) for x in zip(*kept, strict=True))
         cells, times = [], []
         with np.errstate(over="ignore"):
-            slots = Slots(gram)
-            for bit in range(8):
-                y = slots.bit(bit)
-                for o in range(ORDERS):
-                    # shorter contexts repeat, and so do the first bits of a byte
-                    cell, which = np.unique(slots.at(o, bit) * 2 + y, return_inverse=True)
-                    cells.append(cell)
-                    times.append(np.bincount(which.ravel(), n))
-        cell, which = np.unique(np.concatenate(cells), return_inverse=True)
-        n = np.bincount(which.ravel(), np.concatenate(times)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((cell >> 1).astype(np.int32)), pa.array(np.where(cell & 1, 0, n)), pa.array(np.where(cell & 1, n, 0))], names=["slot", "zeros", "ones"])
+            for o in range(ORDERS):
+                # shorter contexts repeat
+                low = gram & np.uint64((1 << (8 * o + 8)) - 1)
+                once, which = np.unique(low, return_inverse=True)
+                count, slots = np.bincount(which.ravel(), n), Slots(once)
+                for bit in range(8):
+                    cells.append(slots.at(o, bit) * 2 + slots.bit(bit))
+                    times.append(count)
+        cell, count = np.concatenate(cells), np.concatenate(times)
+        order = np.argsort(cell)
+        cell, count = cell[order], count[order]
+        first = np.flatnonzero(np.append(True, cell[1:] >> 1 != cell[:-1] >> 1))
+        both = [pa.array(np.add.reduceat(np.where(cell & 1 == y, count, 0), first).astype(np.int64)) for y in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array((cell[first] >> 1).astype(np.int32)), *both], names=["slot", "zeros", "ones"])
+
+    for batch in batches:
+        kept.append((batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()))
+        size += batch.num_rows
+        if size >= _TOGETHER:
+            yield summed()
+            kept, size = [], 0
+    if size:
+        yield summed()
 
 
 def _learned(sent, rate: float):
