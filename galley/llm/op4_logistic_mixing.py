@@ -53,7 +53,7 @@ CHUNK_BITS = 8  # a chunk has 2^CHUNK_BITS bytes on average
 FOLD, ROUNDS, RATE = 250_000, 2, 0.3
 END_TOKEN = np.uint64(0x5DEECE66D5DEECE6)
 TOKEN, GRAM, CHUNK = 0, 1, 2
-CACHE_BITS = 20
+CACHE_BITS = 22
 _TAKE_UP = 1_000_000  # distinct keys that a task sums before it passes them on
 _TOGETHER = 150_000  # grams whose bits a task sums at once
 _STEPS = np.linspace(-8, 8, 33)
