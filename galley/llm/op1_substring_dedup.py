@@ -282,12 +282,13 @@ def _uncontained(pieces: DataFrame, *more: str) -> DataFrame:
 def _window_hits(wins: DataFrame, gone: DataFrame) -> DataFrame:
     """(doc_id, start, to_id, to_start): windows and the first place of each, of what removed paragraphs left."""
     two = wins.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    two = materialize(two, "two")  # tables of their own, so that Spark may split the rows of a hot key in the joins
     inside = lambda g: (g["start"] <= F.col("start")) & (g["end"] >= F.col("start") + WINDOW)
     touched = lambda g: (g["start"] < F.col("start") + WINDOW) & (g["end"] > F.col("start"))
     left = wins.join(two, "key").join(gone, "doc_id", "left").where(~F.coalesce(F.exists("gone", inside), F.lit(False)))
     left = materialize(left.select("key", "doc_id", "start", (~F.coalesce(F.exists("gone", touched), F.lit(False))).alias("whole")), "windows")
     lead = left.groupBy("key").agg(F.min(F.when(F.col("whole"), F.struct("doc_id", "start"))).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    lead = lead.where("low < high and lead is not null").select("key", "lead")
+    lead = materialize(lead.where("low < high and lead is not null").select("key", "lead"), "lead")
     return left.join(lead, "key").where(F.col("doc_id") > F.col("lead.doc_id")).select("doc_id", "start", F.col("lead.doc_id").alias("to_id"), F.col("lead.start").alias("to_start"))
 
 
