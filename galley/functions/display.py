@@ -15,50 +15,63 @@ IMPERIAL = ["cup", "tbsp", "tsp", "fl oz", "pint", "quart", "gallon", "oz", "lb"
 FRACTIONS = {0.25: "¼", 0.33: "⅓", 0.5: "½", 0.66: "⅔", 0.75: "¾"}
 
 
+#: Fixed values, from the largest amount down: (least, grain, shown for a grain as a ratio, unit).
+GRAM_STEPS = [(100, 10.0, (10, 1), "g"), (20, 5.0, (5, 1), "g"), (None, 1.0, (1, 1), "g")]
+KILO_STEPS = [(1000, 100.0, (1, 10), "kg"), *GRAM_STEPS]
+ML_STEPS = [(1000, 100.0, (1, 10), "l"), (500, 25.0, (25, 1), "ml"), (100, 10.0, (10, 1), "ml"), (15, 5.0, (5, 1), "ml"), (None, 1.0, (1, 1), "ml")]
+OUNCE_STEPS = [(907, 453.6 / 4, (1, 4), "lb"), (None, 28.35 / 2, (1, 2), "oz")]
+
+
+def _ladder(amount: Column, steps: list) -> Column:
+    """(quantity, unit) by the first step that the amount reaches: whole grains, half up."""
+    rung = [F.struct((F.floor(amount / grain + 0.5) * up / down).cast("double").alias("quantity"), F.lit(unit).alias("unit")) for _, grain, (up, down), unit in steps]
+    out = rung[-1]
+    for (least, *_), shown in reversed(list(zip(steps, rung, strict=True))[:-1]):
+        out = F.when(amount >= least, shown).otherwise(out)
+    return out
+
+
 def round_grams(g: Column) -> Column:
-    return F.when(g < 20, round_half_up(g)).when(g < 100, round_half_up(g, 5.0)).otherwise(round_half_up(g, 10.0))
+    return _ladder(g, GRAM_STEPS)["quantity"]
 
 
 def round_ml(ml: Column) -> Column:
-    """(quantity, unit): litres from 1000 ml on."""
-    q = (
-        F.when(ml >= 1000, F.floor(ml / 100 + 0.5) / 10).when(ml >= 500, round_half_up(ml, 25.0)).when(ml >= 100, round_half_up(ml, 10.0))
-        .when(ml >= 15, round_half_up(ml, 5.0)).otherwise(round_half_up(ml))
-    )
-    return F.struct(q.alias("quantity"), F.when(ml >= 1000, "l").otherwise("ml").alias("unit"))
+    return _ladder(ml, ML_STEPS)
 
 
 def round_metric_weight(g: Column) -> Column:
-    return F.struct(F.when(g >= 1000, F.floor(g / 100 + 0.5) / 10).otherwise(round_grams(g)).alias("quantity"), F.when(g >= 1000, "kg").otherwise("g").alias("unit"))
+    return _ladder(g, KILO_STEPS)
 
 
 def round_imperial_weight(g: Column) -> Column:
-    q = F.when(g >= 907, round_half_up(g / 453.6 * 4) / 4).otherwise(round_half_up(g / 28.35 * 2) / 2)
-    return F.struct(q.alias("quantity"), F.when(g >= 907, "lb").otherwise("oz").alias("unit"))
+    return _ladder(g, OUNCE_STEPS)
 
 
-def _closest(part: Column) -> Column:
-    return F.array_min(F.array(*[F.struct(F.abs(F.lit(x) - part).alias("d"), F.lit(x).alias("x")) for x in FRACTIONS])).x
+def _nearest(v: Column, *more: tuple[float, str]) -> tuple[Column, Column, Column]:
+    """(whole part, rest, the shown fraction nearest to the rest as (value, sign)); ties to the one listed first."""
+    whole = F.floor(v)
+    choices = [F.struct(F.abs(F.lit(x) - (v - whole)).alias("off"), F.lit(i).alias("i"), F.lit(x).alias("value"), F.lit(sign).alias("sign")) for i, (x, sign) in enumerate([*more, *FRACTIONS.items()])]
+    return whole, v - whole, F.array_min(F.array(*choices))
 
 
 def round_fraction(v: Column) -> Column:
     """The whole part and the nearest shown fraction; there is no rounding up to the next whole."""
-    part = v - F.floor(v)
-    return F.when(part == 0, v).otherwise(F.floor(v) + _closest(part))
+    whole, rest, found = _nearest(v)
+    return F.when(rest == 0, v).otherwise(whole + found["value"])
 
 
 def show_fraction(v: Column) -> Column:
     """The whole part and a fraction's sign; a part nearest to one shows as 1."""
-    part = v - F.floor(v)
-    near = F.array_min(F.array(*[F.struct(F.abs(F.lit(x) - part).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, (x, s) in enumerate([(1.0, "1"), *FRACTIONS.items()])])).s
-    whole = F.floor(v).cast("string")
-    return F.when(part == 0, whole).when(F.floor(v) == 0, near).otherwise(F.concat(whole, near))
+    whole, rest, found = _nearest(v, (1.0, "1"))
+    head = F.when((whole > 0) | (rest == 0), whole.cast("string")).otherwise("")
+    return F.concat(head, F.when(rest == 0, "").otherwise(found["sign"]))
 
 
 def round_imperial_volume(ml: Column) -> Column:
-    cup, spoon, tsp = ml / 240, ml / 15, ml / 5
-    q = F.when(cup >= 0.2, round_fraction(cup)).when(spoon >= 0.5, round_half_up(spoon * 2) / 2).otherwise(round_fraction(tsp))
-    return F.struct(q.alias("quantity"), F.when(cup >= 0.2, "cup").when(spoon >= 0.5, "tbsp").otherwise("tsp").alias("unit"))
+    tsp = F.struct(round_fraction(ml / 5).alias("quantity"), F.lit("tsp").alias("unit"))
+    tbsp = F.struct((round_half_up(ml / 15 * 2) / 2).alias("quantity"), F.lit("tbsp").alias("unit"))
+    cup = F.struct(round_fraction(ml / 240).alias("quantity"), F.lit("cup").alias("unit"))
+    return F.when(ml >= 48, cup).when(ml >= 7.5, tbsp).otherwise(tsp)
 
 
 def convert(quantity: Column, unit: Column, system: str) -> Column:

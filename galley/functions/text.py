@@ -39,8 +39,12 @@ def ingredient_id(c: Column) -> Column:
 
 
 def clean_title(c: Column) -> Column:
-    """Without what stands in round brackets at the end."""
-    return F.trim(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""))
+    """Without what stands in round brackets at the end: from the first opening bracket after the last closed pair on."""
+    t = F.trim(c)
+    body = F.substring(t, F.lit(1), F.length(t) - 1)  # without the closing bracket
+    tail = F.element_at(F.split(body, r"\)"), -1)
+    at = F.instr(tail, "(")
+    return F.when(t.endswith(")") & (at > 0), F.trim(F.substring(t, F.lit(1), F.length(body) - F.length(tail) + at - 1))).otherwise(t)
 
 
 def key(c: Column) -> Column:
@@ -89,3 +93,27 @@ def whole_word(text: Column, word: Column) -> Column:
     """The word stands in the text with no ASCII letter, digit or underscore beside it."""
     edge = r"(?<![A-Za-z0-9_])\Q"
     return F.regexp_count(text, F.concat(F.lit(edge), word, F.lit(r"\E(?![A-Za-z0-9_])"))) > 0
+
+
+def stem(c: Column) -> Column:
+    """A word without its plural ending, as food names are compared."""
+    n, cut = F.length(c), lambda k: F.substring(c, F.lit(1), F.length(c) - k)
+    return (
+        F.when(c.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(c.endswith("oes"), cut(2))
+        .when(c.endswith("es") & (n > 3), cut(2)).when(c.endswith("s") & ~c.endswith("ss") & (n > 2), cut(1)).otherwise(c)
+    )
+
+
+def lookup_stem(c: Column) -> Column:
+    """As stem(), for lookups: ``ies`` of any length."""
+    return F.when(c.endswith("ies"), F.concat(F.substring(c, F.lit(1), F.length(c) - 3), F.lit("y"))).otherwise(stem(c))
+
+
+def portion_singular(c: Column) -> Column:
+    """Singular of a food name's word, by endings that keep the stem a word."""
+    n, cut = F.length(c), lambda k: F.substring(c, F.lit(1), F.length(c) - k)
+    sibilant = c.endswith("ches") | c.endswith("shes") | c.endswith("xes") | c.endswith("zes") | (c.endswith("ses") & (n > 5))
+    return (
+        F.when(c.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(c.endswith("oes") & (n > 4), cut(2)).when(c.endswith("ves") & (n > 5), cut(1))
+        .when(sibilant, cut(2)).when(c.endswith("s") & ~c.endswith("ss") & (n > 3), cut(1)).otherwise(c)
+    )

@@ -58,7 +58,7 @@ _FRACTIONS = "SELECT rid, pos, name, 'broken_fraction_unit' AS \"check\" FROM in
 add("AGG-9_broken_fractions", lambda s, d: broken_fractions(view(s, d, "ingredients")), _FRACTIONS)
 add("AGG-8_weight_conversion", lambda s, d: details_of(s, d).where("unit = 'oz' and quantity > 0 and grams is not null").withColumn("ratio", rounded(F.col("grams") / (F.col("quantity") * 28.35), 4)).groupBy((F.col("ratio") > 3).alias("high"), (F.col("ratio") < 1 / 3).alias("low")).agg(F.count("*").alias("n")),
     f"{DETAILS_SQL} SELECT ratio > 3 AS high, ratio < 1 / 3e0 AS low, count(*) AS n FROM (SELECT {sql_rounded('grams / (quantity * 28.35e0)', 4)} AS ratio FROM details WHERE unit = 'oz' AND quantity > 0 AND grams IS NOT NULL) GROUP BY ALL")
-add("AGG-10_calorie_density", lambda s, d: view(s, d, "foods").where("kcal > 800 and not lower(name) rlike 'oil|butter|lard|ghee|shortening'").select("id", "name", "kcal"), "SELECT id, name, kcal FROM foods WHERE kcal > 800 AND NOT regexp_matches(lower(name), 'oil|butter|lard|ghee|shortening')")
+add("AGG-10_calorie_density", lambda s, d: view(s, d, "foods").where("kcal > 1000 and not lower(name) rlike 'oil|butter|lard|ghee|shortening'").select("id", "name", "kcal"), "SELECT id, name, kcal FROM foods WHERE kcal > 1000 AND NOT regexp_matches(lower(name), 'oil|butter|lard|ghee|shortening')")
 add("AGG-5_layer2", lambda s, d: atwater(profiles_of(s, d), view(s, d, "recipes")).select("check").unionByName(sanity(details_of(s, d)).select("check")).unionByName(broken_fractions(view(s, d, "ingredients")).select("check")).groupBy("check").agg(F.count("*").alias("n")),
     f'{PROFILES_SQL} SELECT "check", count(*) AS n FROM (SELECT "check" FROM ({_ATWATER}) UNION ALL SELECT "check" FROM ({_SANITY}) UNION ALL SELECT "check" FROM ({_FRACTIONS})) GROUP BY 1')
 
@@ -114,15 +114,15 @@ _CORR = "c AS (SELECT conv_id AS doc, role AS key, CAST(turn % 2 AS INTEGER) AS
 add("AGG-59_consensus", lambda s, d: consensus(view(s, d, "conversations").selectExpr("conv_id as doc", "role as key", "cast(turn % 2 as int) as reviewer", "cast(length(text) % 11 as bigint) as score")),
     f"WITH {_CORR} SELECT doc, key, CAST(score AS BIGINT) AS score FROM (SELECT doc, key, count(DISTINCT reviewer) AS k, min(score) AS score FROM c GROUP BY doc, key) JOIN (SELECT doc, count(DISTINCT reviewer) AS n FROM c GROUP BY doc) USING (doc) WHERE k = n")
 add("NST-6_apply_corrections", lambda s, d: view(s, d, "ingredients").select("rid", "pos", "quantity", F.when(F.col("pos") == 1, F.col("quantity")).otherwise(F.lit(-1.0)).alias("expected")).select("rid", "pos", F.when(F.col("quantity") == F.col("expected"), F.col("quantity") * 2).otherwise(F.col("quantity")).alias("quantity")), "SELECT rid, pos, CASE WHEN pos = 1 THEN quantity * 2 ELSE quantity END AS quantity FROM ingredients")
-add("AGG-69_self_consistency", lambda s, d: view(s, d, "ingredients").where("quantity is not null").groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("long")).alias("s1"), F.sum((F.col("quantity") * F.col("quantity")).cast("long")).alias("s2")).where("n >= 3").select("name", (F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / F.col("n")) / (F.col("s1") / F.col("n")) <= 0.58).alias("promoted")),
-    "SELECT name, sqrt((s2 - s1 * s1 / n) / n) / (s1 / n) <= 0.58e0 AS promoted FROM (SELECT name, count(*) AS n, CAST(sum(CAST(quantity AS BIGINT)) AS DOUBLE) AS s1, CAST(sum(CAST(quantity * quantity AS BIGINT)) AS DOUBLE) AS s2 FROM ingredients WHERE quantity IS NOT NULL GROUP BY name) WHERE n >= 3")
+add("AGG-69_self_consistency", lambda s, d: view(s, d, "ingredients").where("quantity is not null").groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("long")).alias("s1"), F.sum((F.col("quantity") * F.col("quantity")).cast("long")).alias("s2")).where("n >= 3").select("name", (F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / F.col("n")) / (F.col("s1") / F.col("n")) <= 0.30).alias("promoted")),
+    "SELECT name, sqrt((s2 - s1 * s1 / n) / n) / (s1 / n) <= 0.30e0 AS promoted FROM (SELECT name, count(*) AS n, CAST(sum(CAST(quantity AS BIGINT)) AS DOUBLE) AS s1, CAST(sum(CAST(quantity * quantity AS BIGINT)) AS DOUBLE) AS s2 FROM ingredients WHERE quantity IS NOT NULL GROUP BY name) WHERE n >= 3")
 
 # --- order, windows, plans ---
 add("WIN-17_id_suffix", lambda s, d: view(s, d, "ingredients").where("name <> ''").withColumn("n", F.row_number().over(Window.partitionBy("rid", "name").orderBy("pos")) - 1).select("rid", "pos", F.when(F.col("n") == 0, F.replace("name", F.lit(" "), F.lit("_"))).otherwise(F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("n").cast("string"))).alias("id")),
     "SELECT rid, pos, replace(name, ' ', '_') || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS id FROM (SELECT *, row_number() OVER (PARTITION BY rid, name ORDER BY pos) - 1 AS n FROM ingredients WHERE name <> '')")
 add("WIN-15_prior_states", lambda s, d: view(s, d, "steps").select("rid", "pos", F.count("*").over(Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)).alias("seen")), "SELECT rid, pos, count(*) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM steps")
-add("WIN-16_assertions", lambda s, d: view(s, d, "ingredients").groupBy("rid", "name").agg(F.count("*").alias("n")).where("n > 1").select("rid", F.lit("duplicate_name").alias("rule")).distinct().unionByName(view(s, d, "steps").where("(step_type in ('combine') and minutes > 30) or (step_type = 'prep' and minutes > 45)").select("rid", F.lit("duration").alias("rule")).distinct()),
-    "SELECT DISTINCT rid, 'duplicate_name' AS rule FROM (SELECT rid, name FROM ingredients GROUP BY rid, name HAVING count(*) > 1) UNION ALL SELECT DISTINCT rid, 'duration' FROM steps WHERE (step_type = 'combine' AND minutes > 30) OR (step_type = 'prep' AND minutes > 45)")
+add("WIN-16_assertions", lambda s, d: view(s, d, "ingredients").groupBy("rid", "name").agg(F.count("*").alias("n")).where("n > 1").select("rid", F.lit("duplicate_name").alias("rule")).distinct().unionByName(view(s, d, "steps").where("(step_type = 'combine' and minutes > 30) or (step_type = 'prep' and minutes > 120)").select("rid", F.lit("duration").alias("rule")).distinct()),
+    "SELECT DISTINCT rid, 'duplicate_name' AS rule FROM (SELECT rid, name FROM ingredients GROUP BY rid, name HAVING count(*) > 1) UNION ALL SELECT DISTINCT rid, 'duration' FROM steps WHERE (step_type = 'combine' AND minutes > 30) OR (step_type = 'prep' AND minutes > 120)")
 add("WIN-19_host_batches", lambda s, d: view(s, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1) / 8)).select("page_id", "batch"), "SELECT page_id, (row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]+)', 1) ORDER BY page_id) - 1) // 8 AS batch FROM pages")
 add("AGG-52_remaining_from_index", lambda s, d: view(s, d, "steps").select("rid", "pos", F.sum(F.coalesce(F.col("minutes"), F.lit(0.0)).cast("long")).over(Window.partitionBy("rid").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)).alias("rest")), "SELECT rid, pos, CAST(sum(CAST(coalesce(minutes, 0) AS BIGINT)) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM steps")
 add("AGG-51_remaining_time", lambda s, d: view(s, d, "steps").groupBy("rid").agg(F.sum(F.when(F.col("pos") > 2, F.coalesce(F.col("minutes"), F.lit(0.0))).otherwise(0.0).cast("long")).alias("rest")), "SELECT rid, CAST(sum(CASE WHEN pos > 2 THEN CAST(coalesce(minutes, 0) AS BIGINT) ELSE 0 END) AS BIGINT) AS rest FROM steps GROUP BY rid")
@@ -130,20 +130,28 @@ add("AGG-53_progress", lambda s, d: view(s, d, "steps").groupBy("rid").agg((F.co
 add("NST-8_linear_times", lambda s, d: view(s, d, "steps").groupBy("rid").agg(F.sum(F.coalesce(F.col("minutes"), F.lit(5.0)).cast("long")).alias("total"), F.sum(F.when(F.col("passive"), F.coalesce(F.col("minutes"), F.lit(5.0))).otherwise(0.0).cast("long")).alias("passive")), "SELECT rid, CAST(sum(CAST(coalesce(minutes, 5) AS BIGINT)) AS BIGINT) AS total, CAST(sum(CASE WHEN passive THEN CAST(coalesce(minutes, 5) AS BIGINT) ELSE 0 END) AS BIGINT) AS passive FROM steps GROUP BY rid")
 
 
-def shopping_list(ingredients: DataFrame) -> DataFrame:
-    """Per name: rows in order; sums what has the unit seen first, fills a missing quantity, drops other units but counts their recipes."""
-    rows = ingredients.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("rid", "pos", "quantity", "unit"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("q"), F.get("rows", F.lit(0)).unit.alias("u"))
-    step = lambda acc, x: F.struct(F.when(x.quantity.isNull(), acc.q).when(acc.q.isNull(), x.quantity).when(x.unit.eqNullSafe(acc.u), acc.q + x.quantity).otherwise(acc.q).alias("q"), F.when(acc.q.isNull() & x.quantity.isNotNull(), x.unit).otherwise(acc.u).alias("u"))
-    return rows.withColumn("f", F.aggregate("rows", start, step)).select("name", F.col("f.q").alias("quantity"), F.col("f.u").alias("unit"), F.size(F.array_distinct(F.transform("rows", lambda x: x.rid))).cast("long").alias("recipes"))
+def shopping_list(planned: DataFrame) -> DataFrame:
+    """Per plan (an author's recipes) and name: the unit of the first row with a quantity, and the sum of what has it; the recipes of all units count.
+
+    Only partial sums and one row per group are shuffled: no rows are collected.
+    """
+    missing = F.col("quantity").isNull().cast("int")
+    first = planned.groupBy("author", "name").agg(F.min(F.struct(missing.alias("m"), "rid", "pos", "unit")).alias("first"), F.count_distinct("rid").alias("recipes"))
+    first = first.select("author", "name", "recipes", F.col("first.unit").alias("unit"))
+    sums = planned.groupBy("author", "name", F.col("unit").alias("u")).agg(F.sum("quantity").alias("q"))
+    rows = first.join(sums, ["author", "name"])
+    return rows.groupBy("author", "name").agg(F.sum(F.when(F.col("u").eqNullSafe(F.col("unit")), F.col("q"))).alias("quantity"), F.first("unit").alias("unit"), F.first("recipes").alias("recipes"))
 
 
-_PLAN = "rid % 997 IN (2, 3, 5)"
-add("AGG-39_shopping_list", lambda s, d: shopping_list(view(s, d, "ingredients").where(f"name <> '' and {_PLAN}")), f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rid, pos) AS n FROM ingredients WHERE name <> '' AND {_PLAN}),
-  h AS (SELECT name, coalesce(min(n) FILTER (WHERE quantity IS NOT NULL), 1) AS first, count(DISTINCT rid) AS recipes FROM i GROUP BY name)
-  SELECT i.name, sum(i.quantity) FILTER (WHERE i.unit IS NOT DISTINCT FROM f.unit) AS quantity, any_value(f.unit) AS unit, any_value(h.recipes) AS recipes FROM i JOIN h USING (name) JOIN i f ON f.name = h.name AND f.n = h.first GROUP BY i.name""")
-add("AGG-41_shared_ingredients", lambda s, d: view(s, d, "ingredients").where(f"name <> '' and {_PLAN}").groupBy("name").agg(F.count_distinct("rid").alias("n")).where("n > 1"), f"SELECT name, count(DISTINCT rid) AS n FROM ingredients WHERE name <> '' AND {_PLAN} GROUP BY name HAVING count(DISTINCT rid) > 1")
-add("AGG-46_plan_totals", lambda s, d: view(s, d, "recipes").where(_PLAN).agg(F.sum("total_minutes").alias("minutes"), F.count_if(F.col("month").isin(6, 7, 8)).alias("seasonal")), f"SELECT CAST(sum(total_minutes) AS BIGINT) AS minutes, count(*) FILTER (WHERE month IN (6, 7, 8)) AS seasonal FROM recipes WHERE {_PLAN}")
+add("AGG-39_shopping_list", lambda s, d: shopping_list(view(s, d, "planned")), """WITH i AS (SELECT *, row_number() OVER (PARTITION BY author, name ORDER BY quantity IS NULL, rid, pos) AS n FROM planned),
+  h AS (SELECT author, name, count(DISTINCT rid) AS recipes FROM i GROUP BY ALL)
+  SELECT i.author, i.name, sum(i.quantity) FILTER (WHERE i.unit IS NOT DISTINCT FROM f.unit) AS quantity, any_value(f.unit) AS unit, any_value(h.recipes) AS recipes
+  FROM i JOIN h USING (author, name) JOIN i f ON f.author = i.author AND f.name = i.name AND f.n = 1 GROUP BY i.author, i.name""")
+add("AGG-41_shared_ingredients", lambda s, d: view(s, d, "planned").groupBy("author", "name").agg(F.count_distinct("rid").alias("n")).where("n > 1"),
+    "SELECT author, name, count(DISTINCT rid) AS n FROM planned GROUP BY author, name HAVING count(DISTINCT rid) > 1")
+_author = lambda: F.coalesce("author", F.lit("")).alias("author")
+add("AGG-46_plan_totals", lambda s, d: view(s, d, "recipes").groupBy(_author()).agg(F.sum("total_minutes").alias("minutes"), F.count_if(F.col("month").isin(6, 7, 8)).alias("seasonal")),
+    "SELECT coalesce(author, '') AS author, CAST(sum(total_minutes) AS BIGINT) AS minutes, count(*) FILTER (WHERE month IN (6, 7, 8)) AS seasonal FROM recipes GROUP BY 1")
 
 
 def first_score(profiles: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -166,7 +174,8 @@ add("WIN-6_best_swap", lambda s, d: first_score(profiles_of(s, d), view(s, d, "r
 add("WIN-12_food_choice", lambda s, d: view(s, d, "foods").withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(F.col("protein").desc(), "id"))).where("n = 1").select("name", "id"), "SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY protein DESC, id) AS n FROM foods) WHERE n = 1")
 add("WIN-14_key_collision", lambda s, d: view(s, d, "foods").groupBy("name").agg(F.max_by("id", F.struct(F.when(F.col("source") == "ciqual", 999).otherwise(F.length("source")).alias("p"), F.when(F.col("source") == "ciqual", F.col("id")).otherwise(-F.col("id")).alias("o"))).alias("id")),
     "SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY CASE source WHEN 'ciqual' THEN 999 ELSE length(source) END DESC, CASE source WHEN 'ciqual' THEN -id ELSE id END) AS n FROM foods) WHERE n = 1")
-add("AGG-37_average_nutrition", lambda s, d: profiles_of(s, d).where(_PLAN).agg(*[(F.sum((F.col(n) * 10 + 0.5).cast("long")) / F.count("*")).alias(n) for n in ("kcal", "protein", "fat")]), f"{PROFILES_SQL} SELECT " + ", ".join(f"CAST(sum(CAST(trunc({n} * 10 + 0.5e0) AS BIGINT)) AS BIGINT) / count(*) AS {n}" for n in ("kcal", "protein", "fat")) + f" FROM profiles WHERE {_PLAN}")
+add("AGG-37_average_nutrition", lambda s, d: profiles_of(s, d).join(view(s, d, "recipes").select("rid", _author()), "rid").groupBy("author").agg(*[(F.sum((F.col(n) * 10 + 0.5).cast("long")) / F.count("*")).alias(n) for n in ("kcal", "protein", "fat")]),
+    f"{PROFILES_SQL} SELECT coalesce(author, '') AS author, " + ", ".join(f"CAST(sum(CAST(trunc(p.{n} * 10 + 0.5e0) AS BIGINT)) AS BIGINT) / count(*) AS {n}" for n in ("kcal", "protein", "fat")) + " FROM profiles p JOIN recipes USING (rid) GROUP BY 1")
 
 # --- graph of steps ---
 

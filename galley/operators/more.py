@@ -35,9 +35,9 @@ def _cache_docs(s, d):
 _CACHE = "SELECT 'food-' || id AS key, kcal, kcal > 800 AS not_found FROM foods WHERE id % 3 = 0"
 for _id in ("SRC-10_nutrition_cache", "SRC-28_match_cache", "SRC-29_weight_cache", "SRC-30_quantity_cache"):
     add(_id, lambda s, d: cache_entries(_cache_docs(s, d)), _CACHE)
-add("SRC-14_nested_portions", lambda s, d: view(s, d, "foods").select("id", F.explode(F.array(F.struct(F.lit("cup").alias("unit"), (F.col("kcal") * 4).alias("g"), F.lit(2.0).alias("n")), F.struct(F.lit("tbsp").alias("unit"), F.col("fat").alias("g"), F.lit(1.0).alias("n")), F.struct(F.lit("cup").alias("unit"), F.lit(1.0).alias("g"), F.lit(1.0).alias("n")))).alias("p"))
-    .select("id", "p.unit", (F.col("p.g") / F.col("p.n")).alias("g")).where("g > 0 and g <= 1000").groupBy("id", "unit").agg(F.max("g").alias("grams")),
-    "SELECT id, unit, max(g) AS grams FROM (SELECT id, 'cup' AS unit, kcal * 4 / 2 AS g FROM foods UNION ALL SELECT id, 'tbsp', fat FROM foods UNION ALL SELECT id, 'cup', 1e0 FROM foods) WHERE g > 0 AND g <= 1000 GROUP BY id, unit")
+add("SRC-14_nested_portions", lambda s, d: view(s, d, "foods").select("id", F.posexplode(F.array(F.struct(F.lit("cup").alias("unit"), (F.col("kcal") * 4).alias("g"), F.lit(2.0).alias("n")), F.struct(F.lit("tbsp").alias("unit"), F.col("fat").alias("g"), F.lit(1.0).alias("n")), F.struct(F.lit("cup").alias("unit"), F.lit(1.0).alias("g"), F.lit(1.0).alias("n")))).alias("k", "p"))
+    .select("id", "k", "p.unit", (F.col("p.g") / F.col("p.n")).alias("g")).where("g > 0 and g <= 5000").groupBy("id", "unit").agg(F.min_by("g", "k").alias("grams")),
+    "SELECT id, unit, arg_min(g, k) AS grams FROM (SELECT id, 0 AS k, 'cup' AS unit, kcal * 4 / 2 AS g FROM foods UNION ALL SELECT id, 1, 'tbsp', fat FROM foods UNION ALL SELECT id, 2, 'cup', 1e0 FROM foods) WHERE g > 0 AND g <= 5000 GROUP BY id, unit")
 
 
 def crawl(spark, links: DataFrame, root: int, depth: int = 2) -> DataFrame:
@@ -57,7 +57,7 @@ add("JOI-27_exists_by_url", lambda s, d: (lambda known: view(s, d, "recipes").wh
     "SELECT rid, source_url IN (SELECT source_url FROM recipes WHERE source_url IS NOT NULL AND rid % 4 = 0) AS known FROM recipes WHERE source_url IS NOT NULL")
 
 # --- projections and text ---
-add("PRJ-3_detail", lambda s, d: view(s, d, "recipes").where("rid % 50 = 2").select("slug", "title", "total_minutes", "author"), "SELECT slug, title, total_minutes, author FROM recipes WHERE rid % 50 = 2")
+add("PRJ-3_detail", lambda s, d: view(s, d, "recipes").select("slug", "title", "total_minutes", "author"), "SELECT slug, title, total_minutes, author FROM recipes")
 add("PRJ-5_food_result", lambda s, d: view(s, d, "foods").select("id", F.col("kcal").alias("energy_kcal"), F.col("protein").alias("protein_g"), rounded(F.col("kcal") / 900, 3).alias("score")), f"SELECT id, kcal AS energy_kcal, protein AS protein_g, {sql_rounded('kcal / 900', 3)} AS score FROM foods")
 add("PRJ-7_amounts", lambda s, d: view(s, d, "ingredients").select("rid", "pos", F.coalesce("quantity", F.lit(0.0)).alias("amount"), F.coalesce("unit", F.lit("")).alias("unit")), "SELECT rid, pos, coalesce(quantity, 0) AS amount, coalesce(unit, '') AS unit FROM ingredients")
 add("PRJ-23_embedding_text", lambda s, d: view(s, d, "foods").select("id", F.concat_ws(", ", "name", "source").alias("t")), "SELECT id, name || ', ' || source AS t FROM foods")
@@ -97,24 +97,25 @@ add("AGG-25_import_quality", lambda s, d: profiles_of(s, d).join(view(s, d, "rec
 add("AGG-29_deviation", lambda s, d: view(s, d, "foods").select("id", F.when(F.col("fat") == 0, F.when(F.col("protein") == 0, None).otherwise(100.0)).otherwise(rounded(F.abs(F.col("protein") - F.col("fat")) / F.col("fat") * 100, 3)).alias("pct")),
     f"SELECT id, CASE WHEN fat = 0 THEN CASE WHEN protein = 0 THEN NULL ELSE 100e0 END ELSE {sql_rounded('abs(protein - fat) / fat * 100', 3)} END AS pct FROM foods")
 add("AGG-44_pantry_count", lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(F.count_if(F.col("name").isin("butter", "egg", "rice")).alias("n")), "SELECT rid, count(*) FILTER (WHERE name IN ('butter', 'egg', 'rice')) AS n FROM ingredients GROUP BY rid")
-add("AGG-45_plan_coverage", lambda s, d: view(s, d, "ingredients").where("rid % 997 in (2, 3, 5) and name <> ''").agg(F.count_distinct("name").alias("names"), F.count_distinct(F.when(F.col("name").isin("butter", "egg", "rice"), F.col("name"))).alias("owned")), "SELECT count(DISTINCT name) AS names, count(DISTINCT name) FILTER (WHERE name IN ('butter', 'egg', 'rice')) AS owned FROM ingredients WHERE rid % 997 IN (2, 3, 5) AND name <> ''")
+add("AGG-45_plan_coverage", lambda s, d: view(s, d, "planned").groupBy("author").agg(F.count_distinct("name").alias("names"), F.count_distinct(F.when(F.col("name").isin("butter", "egg", "rice"), F.col("name"))).alias("owned")),
+    "SELECT author, count(DISTINCT name) AS names, count(DISTINCT name) FILTER (WHERE name IN ('butter', 'egg', 'rice')) AS owned FROM planned GROUP BY author")
 add("AGG-49_breakdown", lambda s, d: details_of(s, d).where("status = 'resolved'").groupBy("rid").agg(F.max("c_kcal").alias("most"), F.sum("c_kcal").alias("total")), f"{DETAILS_SQL} SELECT rid, max(c_kcal) AS most, CAST(sum(c_kcal) AS BIGINT) AS total FROM details WHERE status = 'resolved' GROUP BY rid")
 add("AGG-61_portion_merge", lambda s, d: (lambda f: f.where("source = 'base'").groupBy("name").agg(F.min("kcal").alias("a")).join(f.where("source = 'ciqual'").groupBy("name").agg(F.min("kcal").alias("b")), "name", "full").select("name", F.coalesce("a", "b").alias("kcal")))(view(s, d, "foods")),
     "SELECT name, coalesce(a, b) AS kcal FROM (SELECT name, min(kcal) FILTER (WHERE source = 'base') AS a, min(kcal) FILTER (WHERE source = 'ciqual') AS b FROM foods WHERE source IN ('base', 'ciqual') GROUP BY name)")
 add("WIN-3_seasonal_first", lambda s, d: view(s, d, "recipes").withColumn("n", F.row_number().over(Window.partitionBy("recipe_type").orderBy(F.col("month").isin(6, 7, 8).desc(), F.pmod(F.col("rid") * 16807, F.lit(2147483647)), "rid"))).where("n <= 10").select("recipe_type", "n", "rid"),
     "SELECT recipe_type, CAST(n AS INTEGER) AS n, rid FROM (SELECT recipe_type, rid, row_number() OVER (PARTITION BY recipe_type ORDER BY month IN (6, 7, 8) DESC, rid * 16807 % 2147483647, rid) AS n FROM recipes) WHERE n <= 10")
-add("WIN-11_detail_sort", lambda s, d: details_of(s, d).where("status = 'resolved' and rid < 50").withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy(F.col("c_kcal").desc(), "pos"))).select("rid", "pos", "n"), f"{DETAILS_SQL} SELECT rid, pos, CAST(row_number() OVER (PARTITION BY rid ORDER BY c_kcal DESC, pos) AS INTEGER) AS n FROM details WHERE status = 'resolved' AND rid < 50")
+add("WIN-11_detail_sort", lambda s, d: details_of(s, d).where("status = 'resolved'").withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy(F.col("c_kcal").desc(), "pos"))).select("rid", "pos", "n"), f"{DETAILS_SQL} SELECT rid, pos, CAST(row_number() OVER (PARTITION BY rid ORDER BY c_kcal DESC, pos) AS INTEGER) AS n FROM details WHERE status = 'resolved'")
 
 
 def meal_plan(scores: DataFrame, recipes: DataFrame, meals: int = 5) -> DataFrame:
     """Greedy: each round takes the best score given what is chosen: a new type +2, an author again -1.
 
-    At most fourteen rounds, each a top-one over all candidates; only the chosen ones are in the driver.
+    A round for each meal, each a top-one over all candidates; only the chosen ones are in the driver.
     """
     spark = scores.sparkSession
     rows = scores.join(recipes.select("rid", "author"), "rid").cache()
     chosen: list = []
-    for _ in range(min(meals, 14)):
+    for _ in range(meals):
         kinds, authors, ids = [c.recipe_type for c in chosen], [c.author for c in chosen], [c.rid for c in chosen]
         now = F.col("score") + F.when(~F.col("recipe_type").isin(kinds), 2.0).otherwise(0.0) - F.when(F.col("author").isin(authors), 1.0).otherwise(0.0)
         best = rows.where(~F.col("rid").isin(ids)).withColumn("now", now).orderBy(F.col("now").desc(), "rid").limit(1).collect()

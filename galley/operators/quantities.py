@@ -26,7 +26,7 @@ _half = lambda e, u: f"floor({e} / {u}e0 + 0.5) * {u}e0"
 _grams = lambda g: f"CASE WHEN {g} < 20 THEN {_half(g, 1)} WHEN {g} < 100 THEN {_half(g, 5)} ELSE {_half(g, 10)} END"
 _ml = lambda m: f"CASE WHEN {m} >= 1000 THEN floor({m} / 100 + 0.5) / 10 WHEN {m} >= 500 THEN {_half(m, 25)} WHEN {m} >= 100 THEN {_half(m, 10)} WHEN {m} >= 15 THEN {_half(m, 5)} ELSE {_half(m, 1)} END"
 _metric_w = lambda g: f"CASE WHEN {g} >= 1000 THEN floor({g} / 100 + 0.5) / 10 ELSE {_grams(g)} END"
-_imp_w = lambda g: f"CASE WHEN {g} >= 907 THEN floor({g} / 453.6e0 * 4 + 0.5) / 4 ELSE floor({g} / 28.35e0 * 2 + 0.5) / 2 END"
+_imp_w = lambda g: f"CASE WHEN {g} >= 907 THEN floor({g} / (453.6e0 / 4) + 0.5) / 4 ELSE floor({g} / (28.35e0 / 2) + 0.5) / 2 END"
 _imp_v = lambda m: f"CASE WHEN {m} / 240 >= 0.2e0 THEN {_fraction(f'({m} / 240)')} WHEN {m} / 15 >= 0.5e0 THEN floor({m} / 15 * 2 + 0.5) / 2 ELSE {_fraction(f'({m} / 5)')} END"
 
 for _name, _f, _sql in (
@@ -64,8 +64,10 @@ def repaired(ingredients: DataFrame) -> DataFrame:
 
     unit = F.coalesce("unit", F.lit(""))
     divisor, cut = broken_fraction(unit)
-    both = r"(?i)^(\d+)\s+(tablespoons?|tbsp)\s+plus\s+(\d+)\s+(teaspoons?|tsp)\s+(.+)"
-    spoons = F.regexp_extract("name", both, 1).try_cast("double") * 3 + F.regexp_extract("name", both, 3).try_cast("double")
+    # two amounts joined by plus: each a number and a spoon
+    amounts = F.split(F.lower("name"), " plus ")
+    of = lambda i, spoon: F.regexp_extract(F.get(amounts, F.lit(i)), f"^([0-9]+) {spoon}", 1).try_cast("double")
+    spoons = F.when(F.size(amounts) == 2, of(0, "(tablespoons?|tbsp)$") * 3 + of(1, "(teaspoons?|tsp) "))
     much = F.col("quantity") > lookup(PLAUSIBLE, F.lower(F.trim(unit)))
     return ingredients.withColumns({"divisor": divisor, "cut": cut, "spoons": spoons}).select(
         "rid", "pos",
@@ -131,7 +133,7 @@ add("FLT-7_planner_filter", lambda s, d: profiles_of(s, d).join(view(s, d, "reci
 add("AGG-50_macro_bars", lambda s, d: profiles_of(s, d).where("kcal > 0").select("rid", F.floor(F.col("protein") * 4 / F.col("kcal") * 100 + 0.5).alias("pct")), f"{PROFILES_SQL} SELECT rid, CAST(floor(protein * 4 / kcal * 100 + 0.5) AS BIGINT) AS pct FROM profiles WHERE kcal > 0")
 add("AGG-40_recipe_ingredients", lambda s, d: view(s, d, "ingredients").where("name <> ''").groupBy("rid", "name", "category").agg(F.count("*").alias("n")), "SELECT rid, name, category, count(*) AS n FROM ingredients WHERE name <> '' GROUP BY ALL")
 add("AGG-54_sub_recipe_stats", lambda s, d: view(s, d, "steps").groupBy("rid", "sub_recipe").agg(F.count("*").alias("n"), F.count_if("passive").alias("passive")), "SELECT rid, sub_recipe, count(*) AS n, count(*) FILTER (WHERE passive) AS passive FROM steps GROUP BY ALL")
-add("NST-3_sitemap_locs", lambda s, d: view(s, d, "recipes").where("source_url is not null and rid % 10 = 0").select("rid", F.concat(F.lit("<urlset><url><loc> "), "source_url", F.lit(" </loc></url></urlset>")).alias("x")).select("rid", F.trim(F.get(F.regexp_extract_all("x", F.lit("<loc>([^<]*)</loc>"), F.lit(1)), F.lit(0))).alias("loc")), "SELECT rid, source_url AS loc FROM recipes WHERE source_url IS NOT NULL AND rid % 10 = 0")
+add("NST-3_sitemap_locs", lambda s, d: view(s, d, "recipes").where("source_url is not null").select("rid", F.concat(F.lit("<urlset><url><loc> "), "source_url", F.lit(" </loc></url></urlset>")).alias("x")).select("rid", F.trim(F.get(F.regexp_extract_all("x", F.lit("<loc>([^<]*)</loc>"), F.lit(1)), F.lit(0))).alias("loc")), "SELECT rid, source_url AS loc FROM recipes WHERE source_url IS NOT NULL")
 add("NST-7_sse_events", lambda s, d: view(s, d, "events").select("event_id", F.from_json("props", "struct<k:bigint>").k.alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 
 QUERIES, SQL = catalog.queries, catalog.sql

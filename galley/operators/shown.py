@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galley.functions import text, time
 from galley.functions.units import rounded, sql_rounded
 from galley.operators.nutrition import PROFILES_SQL, profiles_of
-from galley.operators.scalars import SQL_TEXTS, texts
+from galley.operators.scalars import SHORT, texts
 from galley.plans.adapters import view, with_views
 from galley.plans.catalog import Catalog
 
@@ -24,13 +24,11 @@ def add(name: str, f, sql: str | None = None) -> None:
 
 # --- times ---
 _number = lambda p: f"coalesce(TRY_CAST(nullif(regexp_extract(x, '{p}', 1), '') AS DOUBLE), 0)"
-_ISO_PARTS = "^PT(?:(\\d+(?:\\.\\d+)?)H)?(?:(\\d+(?:\\.\\d+)?)M)?(?:(\\d+(?:\\.\\d+)?)S)?$"
-_iso_part = lambda g: f"coalesce(TRY_CAST(nullif(regexp_extract(upper(x), '{_ISO_PARTS}', {g}), '') AS DOUBLE), 0)"
-add("DAT-5_legacy_minutes", lambda s, d: texts(s, d).select("i", rounded(time.legacy_minutes(F.col("t")), 6).alias("value")),
-    f"""WITH {SQL_TEXTS} SELECT i, {sql_rounded(f'''CASE WHEN regexp_matches(upper(x), '{_ISO_PARTS}') THEN {_iso_part(1)} * 60 + {_iso_part(2)} + {_iso_part(3)} * (1 / 60e0)
+add("DAT-5_legacy_minutes", lambda s, d: texts(s, d).where(SHORT).select("src", "i", rounded(time.legacy_minutes(F.col("t")), 6).alias("value")),
+    f"""SELECT src, i, {sql_rounded(f'''CASE WHEN {time.sql_is_iso("upper(x)")} THEN {time.sql_marked_minutes("upper(x)")}
       WHEN regexp_matches(x, '^\\d+(\\.\\d+)?$') THEN CAST(x AS DOUBLE)
       ELSE {_number("(\\d+(?:\\.\\d+)?)\\s*(?:h|hours?|heures?)(?:[^a-z]|$)")} * 60 + {_number("(\\d+(?:\\.\\d+)?)\\s*(?:m|min|mins|minutes?)(?:[^a-z]|$)")} + {_number("(?:h|heures?)(\\d+)$")} + {_number("(\\d+(?:\\.\\d+)?)\\s*(?:s|sec|secs|seconds?|secondes?)(?:[^a-z]|$)")} * (1 / 60e0) END''', 6)} AS value
-      FROM (SELECT i, lower(trim(t)) AS x FROM texts)""")
+      FROM (SELECT src, i, lower(trim(t)) AS x FROM texts WHERE {SHORT})""")
 _SHORT = "CASE WHEN {m} // 60 <= 0 THEN ({m} % 60) || ' min' WHEN {m} % 60 = 0 THEN ({m} // 60) || 'h' ELSE ({m} // 60) || 'h' || lpad(CAST({m} % 60 AS VARCHAR), 2, '0') END"
 add("DAT-18_gantt_format", lambda s, d: view(s, d, "steps").where("minutes is not null").select("rid", "pos", time.short(F.floor(F.col("minutes") * 2.5 + 0.5)).alias("value")),
     f"SELECT rid, pos, {_SHORT.format(m='m')} AS value FROM (SELECT rid, pos, CAST(floor(minutes * 2.5e0 + 0.5) AS BIGINT) AS m FROM steps WHERE minutes IS NOT NULL)")
@@ -43,12 +41,15 @@ add("AGG-20_percent", lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(
 add("AGG-34_scorecard", lambda s, d: view(s, d, "foods").groupBy("name").agg((F.sum("protein") / F.sum(F.lit(40.0)) * 10).alias("x")).select("name", rounded(F.col("x"), 2).alias("score")), f"SELECT name, {sql_rounded('sum(protein) / sum(40e0) * 10', 2)} AS score FROM foods GROUP BY name")
 add("AGG-63_axis_total", lambda s, d: view(s, d, "foods").select("id", (F.col("protein") + F.col("fat") + F.col("carbs") + F.col("fiber") + F.col("sugar")).alias("total")), "SELECT id, protein + fat + carbs + fiber + sugar AS total FROM foods")
 add("AGG-64_assertion_counts", lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(F.count_if(F.col("name") == "").alias("errors"), F.count_if(F.col("quantity").isNull()).alias("warnings")), "SELECT rid, count(*) FILTER (WHERE name = '') AS errors, count(*) FILTER (WHERE quantity IS NULL) AS warnings FROM ingredients GROUP BY rid")
-_PLAN = "rid % 997 in (2, 3, 5)"
-_plan_names = lambda s, d: view(s, d, "ingredients").where(f"{_PLAN} and name <> ''").select("name", "category").distinct()
-add("AGG-38_plan_nutrition", lambda s, d: profiles_of(s, d).where(_PLAN).where("kcal is not null").agg(F.count("*").alias("n"), rounded(F.sum(F.col("kcal").cast("decimal(20,1)")).cast("double") / F.count("*"), 0).alias("kcal")), f"{PROFILES_SQL} SELECT count(*) AS n, {sql_rounded('CAST(sum(CAST(kcal AS DECIMAL(20, 1))) AS DOUBLE) / count(*)', 0)} AS kcal FROM profiles WHERE {_PLAN} AND kcal IS NOT NULL")
-add("AGG-42_shared_with_selected", lambda s, d: view(s, d, "ingredients").where("name <> ''").select("rid", "name").distinct().join(_plan_names(s, d).select("name").distinct(), "name", "left_semi").groupBy("rid").agg(F.count("*").alias("shared")), f"SELECT rid, count(DISTINCT name) AS shared FROM ingredients WHERE name <> '' AND name IN (SELECT name FROM ingredients WHERE {_PLAN}) GROUP BY rid")
-add("AGG-47_shopping_pantry_count", lambda s, d: _plan_names(s, d).agg(F.count_if(F.col("name").isin(*_PANTRY)).alias("owned")), f"SELECT count(*) FILTER (WHERE {_OWNED}) AS owned FROM (SELECT DISTINCT name, category FROM ingredients WHERE {_PLAN} AND name <> '')")
-add("AGG-65_shopping_total", lambda s, d: _plan_names(s, d).groupBy("category").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), f"SELECT count(*) AS total FROM (SELECT DISTINCT name, category FROM ingredients WHERE {_PLAN} AND name <> '')")
+_plan_names = lambda s, d: view(s, d, "planned").select("author", "name", "category").distinct()
+_PLAN_NAMES = "(SELECT DISTINCT author, name, category FROM planned)"
+_author = lambda: F.coalesce("author", F.lit("")).alias("author")
+add("AGG-38_plan_nutrition", lambda s, d: profiles_of(s, d).where("kcal is not null").join(view(s, d, "recipes").select("rid", _author()), "rid").groupBy("author").agg(F.count("*").alias("n"), rounded(F.sum(F.col("kcal").cast("decimal(20,1)")).cast("double") / F.count("*"), 0).alias("kcal")),
+    f"{PROFILES_SQL} SELECT coalesce(author, '') AS author, count(*) AS n, {sql_rounded('CAST(sum(CAST(p.kcal AS DECIMAL(20, 1))) AS DOUBLE) / count(*)', 0)} AS kcal FROM profiles p JOIN recipes USING (rid) WHERE p.kcal IS NOT NULL GROUP BY 1")
+add("AGG-42_shared_with_selected", lambda s, d: view(s, d, "ingredients").where("name <> ''").select("rid", "name").distinct().join(view(s, d, "planned").where("rid = 1").select("name").distinct(), "name", "left_semi").groupBy("rid").agg(F.count("*").alias("shared")),
+    "SELECT rid, count(DISTINCT name) AS shared FROM ingredients WHERE name <> '' AND name IN (SELECT name FROM planned WHERE rid = 1) GROUP BY rid")
+add("AGG-47_shopping_pantry_count", lambda s, d: _plan_names(s, d).groupBy("author").agg(F.count_if(F.col("name").isin(*_PANTRY)).alias("owned")), f"SELECT author, count(*) FILTER (WHERE {_OWNED}) AS owned FROM {_PLAN_NAMES} GROUP BY author")
+add("AGG-65_shopping_total", lambda s, d: _plan_names(s, d).groupBy("author").agg(F.count("*").alias("total")), f"SELECT author, count(*) AS total FROM {_PLAN_NAMES} GROUP BY author")
 add("AGG-66_pantry_ratio", lambda s, d: view(s, d, "ingredients").where("name <> ''").groupBy("rid").agg(rounded(F.count_if(F.col("name").isin(*_PANTRY)) / F.count("*"), 4).alias("ratio")), f"SELECT rid, {sql_rounded(f'count(*) FILTER (WHERE {_OWNED}) / count(*)', 4)} AS ratio FROM ingredients WHERE name <> '' GROUP BY rid")
 
 # --- lists ---
@@ -61,7 +62,8 @@ add("FLT-24_english_source", lambda s, d: view(s, d, "documents").select("doc_id
 add("FLT-27_pantry_exact", lambda s, d: view(s, d, "ingredients").select("rid", "pos", text.fold_name(F.col("name")).isin(*_PANTRY).alias("owned")), f"SELECT rid, pos, {_FOLDED} IN ('butter', 'egg', 'rice') AS owned FROM ingredients")
 add("NUM-19_macro_format", lambda s, d: profiles_of(s, d).where("protein is not null").select("rid", F.concat(F.when(F.col("confidence") == "high", "").otherwise("~"), F.floor(F.col("protein") + 0.5).cast("string")).alias("value")), f"{PROFILES_SQL} SELECT rid, CASE WHEN confidence = 'high' THEN '' ELSE '~' END || CAST(floor(protein + 0.5) AS BIGINT) AS value FROM profiles WHERE protein IS NOT NULL")
 add("NUM-35_adjusted_amount", lambda s, d: view(s, d, "ingredients").join(view(s, d, "recipes").select("rid", "servings"), "rid").select("rid", "pos", rounded(F.col("quantity") * 6 / F.col("servings"), 4).alias("amount")), f"SELECT rid, pos, {sql_rounded('quantity * 6 / servings', 4)} AS amount FROM ingredients JOIN recipes USING (rid)")
-add("NUM-33_shopping_text", lambda s, d: _plan_names(s, d).groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_set("name")), lambda n: F.concat(F.lit("- "), n)), "\n").alias("lines")), f"SELECT category, string_agg(DISTINCT '- ' || name, chr(10) ORDER BY '- ' || name) AS lines FROM ingredients WHERE {_PLAN} AND name <> '' GROUP BY category")
+add("NUM-33_shopping_text", lambda s, d: _plan_names(s, d).groupBy("author", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_set("name")), lambda n: F.concat(F.lit("- "), n)), "\n").alias("lines")),
+    f"SELECT author, category, string_agg(DISTINCT '- ' || name, chr(10) ORDER BY '- ' || name) AS lines FROM {_PLAN_NAMES} GROUP BY author, category")
 _sub = lambda s, d: view(s, d, "steps").select("rid", "pos", "sub_recipe")
 add("PRJ-20_sub_recipe_ingredients", lambda s, d: view(s, d, "ingredients").where("name <> ''").join(_sub(s, d), ["rid", "pos"]).select("rid", "sub_recipe", "pos", "name", "quantity"), "SELECT rid, sub_recipe, pos, name, quantity FROM ingredients JOIN steps USING (rid, pos) WHERE name <> ''")
 add("GRF-5_sub_recipe_toggle", lambda s, d: view(s, d, "steps").select("rid", "pos", (F.col("sub_recipe") == "sauce").alias("done")), "SELECT rid, pos, sub_recipe = 'sauce' AS done FROM steps")

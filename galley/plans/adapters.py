@@ -36,11 +36,23 @@ _NAME = lambda key: pick(f"({key}) % {len(NAMES)}", [n for n, _ in NAMES])  # no
 _CATEGORY = lambda key: pick(f"({key}) % {len(NAMES)}", [c for _, c in NAMES])
 _TYPES = ["main_course", "dessert", "appetizer", "base", "drink"]
 
+#: Shapes of raw values as scraped: numbers of the row (a, b) stand in durations, quantities, names and headers.
+_SHAPES = [
+    "concat('PT', a, 'M')", "concat('PT', b, 'H')", "concat('PT', b, 'H', a, 'M')", "concat('PT', a, 'S')", "'PT'", "concat('PT', b, '.5H')", "concat(a, 'min')", "concat(b, 'h', a, 'min')",
+    "concat(a, ' minutes')", "concat(b, ' hour ', a, ' minutes')", "''", "a", "concat('P', b, 'D')", "concat(b, 'h05')", "concat(b, ' heures')", "concat(b, '-', a)", "concat(b, ' to ', a)",
+    "concat('1/', b)", "concat(a, ' 1/', b)", "concat('~', a)", "concat('~ ', a)", "concat(a, ' people')", "'none'", "concat(a, '.5')", "'to taste'", "'0'", "'-'", "'N'", "'traces'",
+    "concat('< 0,', b)", "concat(a, ',', b)", "'Tr'", "concat('(', b, ')')", "concat('(', b, '.2)')", "concat('<', b)", "concat('/', b, ' cup')", "concat('/', b, ' piece')", "'chicken/beef'",
+    "'red wine or port'", "'berries'", "'Tomatoes'", "'olives'", "'glass'", "'dishes'", "'boxes'", "'Pâte à crêpes (facile)'", "'Œufs à la coque'", "concat(a, 'g flour')", "concat('LANGUAGE: fr ', a)",
+    "'garlic, boneless; (skinless).'", "'for garnish'", "'Optional herbs'", "'[note]'", "'soy sauce'", "'peanut sauce'", "'caesar dressing'", "concat('Bake ', a, ' min, then rest ', b, ' h')", "'flambé the sauté pan'",
+]
 VIEWS = {
+    "texts": f"""SELECT 'raw' AS src, l_orderkey * 8 + l_linenumber AS i, CASE (l_partkey + l_suppkey) % {len(_SHAPES)} {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SHAPES))} END AS t
+        FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(9)) AS a, CAST(l_linenumber + 1 AS VARCHAR(9)) AS b FROM lines) r
+      UNION ALL SELECT 'title', rid, title FROM recipes UNION ALL SELECT 'url', page_id, url FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents""",
     "lines": """SELECT * FROM (
         SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem l
     ) x WHERE rn = 1""",
-    "foods": f"""SELECT p_partkey AS id, {_NAME("p_partkey")} AS name, CAST((p_partkey * 37) % 900 AS DOUBLE) AS kcal,
+    "foods": f"""SELECT p_partkey AS id, {_NAME("p_partkey")} AS name, CAST((p_partkey * 37) % 900 + CASE WHEN p_partkey % 19 = 0 THEN 400 ELSE 0 END AS DOUBLE) AS kcal,
         CAST((p_partkey * 13) % 40 AS DOUBLE) AS protein, CAST((p_partkey * 7) % 60 AS DOUBLE) AS fat, CAST((p_partkey * 11) % 80 AS DOUBLE) AS carbs,
         CAST((p_partkey * 3) % 12 AS DOUBLE) AS fiber, CAST((p_partkey * 5) % 30 AS DOUBLE) AS sugar, CAST((p_partkey * 2) % 20 AS DOUBLE) AS sat_fat,
         CASE WHEN p_partkey % 3 > 0 THEN CAST((p_partkey * 17) % 400 AS DOUBLE) END AS calcium, CASE WHEN p_partkey % 3 > 0 THEN CAST((p_partkey * 19) % 90 AS DOUBLE) / 10 END AS iron,
@@ -60,7 +72,8 @@ VIEWS = {
         CASE WHEN l_suppkey % 11 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_quantity END AS quantity,
         {pick(f"(l_partkey + l_linenumber) % {len(UNITS)}", UNITS)} AS unit, {_CATEGORY("l_partkey")} AS category, l_returnflag = 'R' AS optional
       FROM lines""",
-    "steps": """SELECT l_orderkey AS rid, l_linenumber AS pos, CASE WHEN l_partkey % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_quantity END AS minutes,
+    "planned": "SELECT coalesce(author, '') AS author, i.* FROM ingredients i JOIN recipes USING (rid) WHERE name <> ''",
+    "steps": """SELECT l_orderkey AS rid, l_linenumber AS pos, CASE WHEN l_partkey % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_quantity * 3 END AS minutes,
         l_linestatus = 'O' AS passive, concat('st', CAST(l_linenumber AS VARCHAR(20))) AS produces,
         CASE l_suppkey % 4 WHEN 0 THEN 'prep' WHEN 1 THEN 'combine' WHEN 2 THEN 'cook' ELSE 'rest' END AS step_type,
         CASE WHEN l_suppkey % 3 = 0 THEN 'sauce' ELSE 'main' END AS sub_recipe FROM lines""",

@@ -8,7 +8,10 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and SQL (name to text).
-MODULES: tuple[str, ...] = ("galley.operators.nutrition", "galley.operators.scalars", "galley.operators.search", "galley.operators.audit", "galley.operators.quantities", "galley.operators.more", "galley.operators.shown", "galley.streaming.progress")
+MODULES: tuple[str, ...] = (
+    "galley.operators.nutrition", "galley.operators.scalars", "galley.operators.search", "galley.operators.audit", "galley.operators.quantities",
+    "galley.operators.more", "galley.operators.shown", "galley.operators.names", "galley.streaming.progress",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
