@@ -45,7 +45,8 @@ def _histograms(q: pd.DataFrame, c: pd.DataFrame, shift: int, k: int, bound: int
         return pd.DataFrame({"id": [], "bin": [], "n": []}).astype("int64")
     scores, (lo, hi) = _scores(q, c, bound), (q["lo"].to_numpy()[:, None], q["hi"].to_numpy()[:, None])
     scores = np.where((scores >= lo) & (scores <= hi), scores, np.iinfo(np.int64).min)
-    best = -np.partition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, : min(k, scores.shape[1])]
+    n, some = scores.shape[1], min(k, scores.shape[1])
+    best = np.partition(scores, n - some, axis=1)[:, n - some :]
     rows = np.nonzero(best > np.iinfo(np.int64).min)
     # all of a bin's scores count, not only those among the k best: the bin at the edge is counted whole
     edge = np.where(best.min(axis=1) > np.iinfo(np.int64).min, best.min(axis=1) >> shift, np.iinfo(np.int64).min >> shift)
@@ -54,13 +55,18 @@ def _histograms(q: pd.DataFrame, c: pd.DataFrame, shift: int, k: int, bound: int
     return found.groupby(["id", "bin"], sort=False).size().rename("n").reset_index().astype("int64")
 
 
-def _reaching(q: pd.DataFrame, c: pd.DataFrame, bound: int) -> pd.DataFrame:
-    """(query_id, vec_id, score) of what is above the kth score, and of the smallest ids at it."""
+def _reaching(q: pd.DataFrame, c: pd.DataFrame, k: int, bound: int) -> pd.DataFrame:
+    """(query_id, vec_id, score) of what reaches the kth score; of each query the first k of the block, so that ties send on no more."""
     if not len(q) or not len(c):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     scores = _scores(q, c, bound)
     rows, cols = np.nonzero((scores >= q["lo"].to_numpy()[:, None]) & (scores > np.iinfo(np.int64).min))
-    return pd.DataFrame({"query_id": q["id"].to_numpy()[rows], "vec_id": c["id"].to_numpy()[cols], "score": scores[rows, cols]})
+    ids, score = c["id"].to_numpy()[cols], scores[rows, cols]
+    order = np.lexsort((ids, -score, rows))
+    rows, ids, score = rows[order], ids[order], score[order]
+    first = np.searchsorted(rows, rows)
+    kept = np.arange(len(rows)) - first < k
+    return pd.DataFrame({"query_id": q["id"].to_numpy()[rows[kept]], "vec_id": ids[kept], "score": score[kept]})
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -77,6 +83,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     most = lambda df: df.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
     (a, dims), (b, _) = most(queries), most(candidates)
     bound = max(1, int(a or 0) * int(b or 0) * int(dims or 1))
+    if bound >= 2**62:
+        raise OverflowError(f"inner products of up to {bound} don't fit a long")
     candidates = materialize(
         candidates.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_cb)).alias("cb"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))),
@@ -114,7 +122,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         if shift == 0:
             break
         shift = max(0, shift - BITS)
-    found = met(state, lambda q, c: _reaching(q, c, bound), "query_id long, vec_id long, score long")
+    found = met(state, lambda q, c: _reaching(q, c, k, bound), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
