@@ -31,8 +31,11 @@ LEAST_SHARE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training_rows(docs))
-    found = predict(docs.where("doc_id is not null"), model, keep_text=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    # what predict() adds must not replace columns of these names
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    found = predict(docs.where("doc_id is not null").withColumnsRenamed(own), model, keep_text=True)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
