@@ -330,6 +330,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     while True:
         # sources lie before their copies, so every piece comes to where its words stay
         cut = pieces.groupBy(F.col("doc_id").alias("to_id")).agg(F.collect_list(F.struct("start", "n", "to_id", "to_start")).alias("cut"))
+        cut = materialize(cut, "cut")  # a table of its own, so that Spark may split the pieces of a hot source in the join
         lost = lambda g: (g["start"] < F.col("to_start") + F.col("n")) & (g["start"] + g["n"] > F.col("to_start"))
         marked = pieces.join(cut, "to_id", "left").withColumn("cut", F.coalesce(F.filter("cut", lost), F.array()))
         marked = materialize(marked, "marked")
@@ -338,8 +339,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         traced = marked.where(F.size("cut") > 0).select("doc_id", "start", "n", "to_id", "to_start", "cut").mapInArrow(_traced, PIECE)
         traced = marked.where(F.size("cut") == 0).drop("cut").unionByName(traced).distinct()
         old, pieces = pieces, materialize(_uncontained(traced, "to_start"), "pieces")
-        discard(old, marked)
-    discard(chains, sources, marked)
+        discard(old, marked, cut)
+    discard(chains, sources, marked, cut)
     alike = lines.where("exact <> first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"))
     found = _uncontained(pieces.select("doc_id", "start", "n", "to_id").unionByName(alike))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("to_id").alias("kept_doc_id"))
