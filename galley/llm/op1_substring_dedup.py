@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from galley.llm.common import connected_components, discard, materialize
 from galley.llm.op5_hyperminhash import links_within
-from galley.llm.words import Words, groups, mix, words
+from galley.llm.words import Words, groups, lean, mix, words
 from galley.tables import table
 
 SHINGLE = 5
@@ -191,9 +191,9 @@ def _paragraph_links(texts: DataFrame, paras: DataFrame) -> DataFrame:
     one = paras.join(members.select("exact").distinct(), "exact", "left_semi").groupBy("exact").agg(F.min(F.struct("doc_id", "start", "words")).alias("at"))
     wanted = one.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.words", "exact")).alias("wanted"))
     sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
-    sets = materialize(sets.mapInArrow(_shingle_sets, "exact bigint, shingles array<bigint>"), "shingles")
+    sets = materialize(sets.mapInArrow(lean(_shingle_sets), "exact bigint, shingles array<bigint>"), "shingles")
     grouped = parts.join(sets, "exact").select("key", "part", "exact", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
-    links = materialize(grouped.mapInArrow(_linked, "a bigint, b bigint"), "links")
+    links = materialize(grouped.mapInArrow(lean(_linked), "a bigint, b bigint"), "links")
     discard(members, sets)
     return links
 
@@ -298,7 +298,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text. Words are counted from 0 in their text. Rows of a document may overlap.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(texts.mapInArrow(_passages, PASSAGES), "passages")
+    rows = materialize(texts.mapInArrow(lean(_passages), PASSAGES), "passages")
     lines = materialize(_repeated_paragraphs(texts, rows.where("exact <> 0").drop("key")), "lines")
 
     # removed paragraphs of each document, adjacent ones joined
@@ -322,9 +322,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = chains.groupBy("to_id").agg(F.collect_set(F.struct("low", "high")).alias("asked"))
     one = lambda ids: texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sources = one(asked.select(F.col("to_id").alias("doc_id"))).withColumnRenamed("doc_id", "to_id").join(asked, "to_id").join(gone.withColumnRenamed("doc_id", "to_id"), "to_id", "left")
-    sources = materialize(sources.select("to_id", "text", "asked", "gone").mapInArrow(_sources, SOURCE), "sources")
+    sources = materialize(sources.select("to_id", "text", "asked", "gone").mapInArrow(lean(_sources), SOURCE), "sources")
     mine = chains.join(sources, ["to_id", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("to_id", "ahead", "low", "source")).alias("chains"))
-    grown = one(chains.select("doc_id")).join(mine, "doc_id").select("doc_id", "text", "chains").mapInArrow(_grown, PIECE)
+    grown = one(chains.select("doc_id")).join(mine, "doc_id").select("doc_id", "text", "chains").mapInArrow(lean(_grown), PIECE)
     equal = lines.where("exact = first.exact").select("doc_id", "start", F.col("words").alias("n"), F.col("first.doc_id").alias("to_id"), F.col("first.start").alias("to_start"))
     pieces = materialize(_uncontained(grown.unionByName(equal).distinct(), "to_start"), "pieces")
     while True:
@@ -336,7 +336,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         marked = materialize(marked, "marked")
         if marked.where(F.size("cut") > 0).isEmpty():
             break
-        traced = marked.where(F.size("cut") > 0).select("doc_id", "start", "n", "to_id", "to_start", "cut").mapInArrow(_traced, PIECE)
+        traced = marked.where(F.size("cut") > 0).select("doc_id", "start", "n", "to_id", "to_start", "cut").mapInArrow(lean(_traced), PIECE)
         traced = marked.where(F.size("cut") == 0).drop("cut").unionByName(traced).distinct()
         old, pieces = pieces, materialize(_uncontained(traced, "to_start"), "pieces")
         discard(old, marked, cut)
@@ -374,7 +374,7 @@ def remove_passages(docs: DataFrame, runs: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([rows.schema["__row"], T.StructField("text", T.StringType())])
-    return rows.mapInArrow(_cut, schema).select(*[F.col(f"__row.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns])
+    return rows.mapInArrow(lean(_cut), schema).select(*[F.col(f"__row.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

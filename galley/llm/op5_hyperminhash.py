@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import connected_components, discard, materialize
-from galley.llm.words import groups, mix, words
+from galley.llm.words import groups, lean, mix, words
 from galley.tables import table
 
 BUCKETS = 128
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Documents are linked where den * |intersection| >= num * |union| of their k-word shingle sets.
     """
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.mapInArrow(shingled(k), SHINGLED), "sets")
+    sets = materialize(texts.mapInArrow(lean(shingled(k)), SHINGLED), "sets")
     # exact copies: one class for each set, named by its smallest document; without shingles each alone
     some = sets.where("n_shingles > 0")
     classes = materialize(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class")), "classes")
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     lead = lead.where("n > 1").select("key", F.col("lead.doc_id").alias("a"))
     star = keys.join(lead, "key").where(F.col("a") != F.col("doc_id")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
     of = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    near = star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(LEAST_ESTIMATE), "a bigint, b bigint")
+    near = star.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(_alike(LEAST_ESTIMATE)), "a bigint, b bigint")
     found = materialize(connected_components(near), "clusters")
     clusters = found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sized = clusters.join(reps.select("doc_id", "bytes"), "doc_id")
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     parts = parts.select("doc_id", "cluster", "blocks", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("part"))
     bodies = texts.join(clusters.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(parts, "doc_id")
     grouped = bodies.select("cluster", "part", "doc_id", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    links = materialize(grouped.mapInArrow(_linked(k, num, den), "a bigint, b bigint"), "links")
+    links = materialize(grouped.mapInArrow(lean(_linked(k, num, den)), "a bigint, b bigint"), "links")
     discard(reps, found)
     near = connected_components(links).select(F.col("node").alias("class"), "component")
     classes = classes.join(near, "class", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class").alias("component"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.llm.words import Words, mix, slices, words_of
+from galley.llm.words import Words, lean, mix, slices, words_of
 from galley.tables import importable, table
 
 SAMPLE, SAMPLE_BYTES, MAX_LANGUAGES = 400, 8_000, 64
@@ -307,7 +307,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("__text"))
     own = [T.StructField("text", T.StringType())] if keep_text else []
     schema = T.StructType([*(rows.schema[c] for c in rest), *own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predicted(sent, keep_text), schema)
+    return rows.mapInArrow(lean(_predicted(sent, keep_text)), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -7,7 +7,8 @@ Hashes are 64 bits wide: two different shingles meet with a chance of 2^-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,23 @@ _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, after which a worker returns freed memory to the system: workers are used again by later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
