@@ -71,3 +71,56 @@ def test_schedule_shares_the_active_lane(spark):
     got = schedule(spark.createDataFrame(rows, "rid long, pos int, minutes double, passive boolean, sub_recipe string").withColumn("produces", F.lit("x"))).collect()
     # each step uses the one before and that of half its position
     assert sorted((r.pos, r.lane, r.start, r.end) for r in got) == [(1, "you", 0.0, 10.0), (2, "main", 10.0, 40.0), (3, "you", 40.0, 43.0), (4, "sauce", 43.0, 48.0)]
+
+
+def test_balanced_columns_equals_the_greedy_rule(spark):
+    import random
+    from collections import Counter
+
+    from galley.operators.kitchen import balanced_columns
+
+    draw = random.Random(5)
+    rows = [(r, p, draw.choice("abcdefg")) for r in range(40) for p in range(draw.randint(1, 15))]
+    want = set()
+    for rid in {r for r, _, _ in rows}:
+        mine = [c for r, _, c in rows if r == rid]
+        held = [0, 0, 0]
+        for category, n in sorted(Counter(mine).items(), key=lambda x: (-x[1], mine.index(x[0]))):
+            at = held.index(min(held))
+            held[at] += n
+            want.add((rid, category, at))
+    assert {tuple(r) for r in balanced_columns(spark.createDataFrame(rows, "rid long, pos int, category string")).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "quantity, unit, want",
+    [
+        (2.0, "Heaping tablespoons", (2.5, "tbsp", "inferred", "heaping")), (None, "large handful", (1.5, "handful", "inferred", "large")), (None, "scant", (0.85, "tsp", "inferred", "scant")),
+        (3.0, "scant", (3.0, "scant", None, None)), (None, "thin slices", (1.0, "slice", "inferred", None)), (2.0, "Cups", (2.0, "cup", None, None)), (None, "Box", (None, "Box", None, None)), (None, None, (None, None, None, None)),
+    ],
+)
+def test_mended_quantity(spark, quantity, unit, want):
+    from galley.operators.kitchen import mended_quantity
+
+    df = spark.createDataFrame([(quantity, unit)], "q double, u string")
+    assert tuple(df.select(mended_quantity(F.col("q"), F.col("u")).alias("m")).first().m) == want
+
+
+def test_single_privacy(spark):
+    from galley.operators.kitchen import is_private
+
+    df = spark.createDataFrame([("Ann Lee",), ("",), (None,)], "a string")
+    hidden = lambda config: [r[0] for r in df.select(is_private(F.col("a"), config)).collect()]
+    assert hidden({"public": ["ann"]}) == [False, True, True]
+    assert hidden({"public": []}) == [True, True, True]
+    assert hidden({"private": ["lee"]}) == [True, False, False]
+    assert hidden({"private": ["LEE"]}) == [False, False, False]
+    assert hidden({}) == [False, False, False]
+
+
+def test_named_ingredients(spark):
+    from galley.operators.kitchen import named_ingredients
+
+    names = spark.createDataFrame([(1, 1, "Eggplant"), (1, 2, "egg"), (1, 3, "egg white"), (1, 4, "olive oil")], "rid long, pos int, name string")
+    refs = spark.createDataFrame([(1, x) for x in ("egg", "olive_oil", "oil", "Beaten egg white", "plant", "")], "rid long, ref string")
+    assert {r.ref: r.pos for r in named_ingredients(refs, names).collect()} == {"egg": 2, "olive_oil": 4, "oil": 4, "Beaten egg white": 2, "plant": None, "": None}
