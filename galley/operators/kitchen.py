@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import text
 from galley.functions.units import lookup, rounded, sql_rounded
-from galley.operators.names import PARSED_UNITS
+from galley.operators.names import _FORMS, PARSED_UNITS, _shown
 from galley.operators.nutrition import DETAILS_SQL, PROFILES_SQL, details_of, profiles_of
 from galley.plans.adapters import view, with_views
 from galley.plans.catalog import Catalog
@@ -31,6 +31,11 @@ def _case(e: str, pairs: dict) -> str:
     return f"CASE {e} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in pairs.items()) + " END"
 
 
+def _case_of(e: str, values: list[str]) -> str:
+    """SQL for the value at ``e`` modulo the length of a list."""
+    return f"CASE {e} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
 # --- privacy ---
 def is_private(author: Column, config: dict[str, list[str]]) -> Column:
     """Whether one recipe is hidden. A list that is present counts even when empty: an empty ``public`` hides all.
@@ -206,6 +211,44 @@ add(
         CASE WHEN sized OR alone OR single THEN 'inferred' END AS source, CASE WHEN sized THEN head WHEN alone THEN low END AS modifier FROM f""",
 )
 
+# --- forms of a name ---
+#: Words that say how a food was treated, not which food it is.
+TREATED = [
+    "raw", "cooked", "boiled", "fresh", "dried", "frozen", "canned", "peeled", "unpeeled", "unprepared", "prepared", "drained", "salted", "unsalted", "whole", "ground", "powdered", "pure",
+    "from cow's milk", "from sheep's milk", "from goat's milk",
+]
+_TREATED = r"\b(" + "|".join(TREATED) + r")\b"
+
+
+def name_forms(name: Column) -> Column:
+    """The sorted forms of more than two letters under which a listed name may be met.
+
+    They are the name, the name without words of treatment, either with its first part last, and what words
+    of treatment leave of those. Null gives no form.
+    """
+    plain = lambda c: F.btrim(F.regexp_replace(F.regexp_replace(c, _TREATED, ""), r"\s+", " "), F.lit(" ,"))
+
+    def first_last(c: Column) -> Column:
+        parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(F.size(parts) > 1, F.regexp_replace(F.concat_ws(" ", F.slice(parts, 2, F.size(parts)), parts[0]), r"\s+", " "))
+
+    low = F.regexp_replace(F.lower(F.trim(name)), r"'s\b", "")
+    base = F.btrim(F.regexp_replace(plain(low), r"\s*,\s*", ", "), F.lit(", "))
+    forms = F.array(low, base, first_last(low), first_last(base))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(forms, F.transform(forms, plain)), lambda x: F.length(x) > 2)))
+
+
+_plain_sql = lambda e: "trim(regexp_replace(regexp_replace({}, '{}', '', 'g'), '\\s+', ' ', 'g'), ' ,')".format(e, _TREATED.replace("'", "''"))
+_parts_sql = lambda e: f"list_filter(list_transform(string_split({e}, ','), lambda x: trim(x)), lambda x: x <> '')"
+add(
+    "SET-5_name_forms",
+    lambda s, d: _shown(s, d).select("id", F.array_join(name_forms(F.col("shown")), "|").alias("forms")),
+    f"""WITH a AS (SELECT id, lower(name || ', ' || {_case_of("id", _FORMS)}) AS low FROM foods), b AS (SELECT *, trim(regexp_replace({_plain_sql("low")}, '\\s*,\\s*', ', ', 'g'), ', ') AS base FROM a),
+      c AS (SELECT *, {_parts_sql("low")} AS p, {_parts_sql("base")} AS q FROM b),
+      e AS (SELECT id, [low, base, CASE WHEN len(p) > 1 THEN array_to_string(p[2:], ' ') || ' ' || p[1] END, CASE WHEN len(q) > 1 THEN array_to_string(q[2:], ' ') || ' ' || q[1] END] AS forms FROM c)
+      SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_concat(forms, list_transform(forms, lambda x: {_plain_sql("x")})), lambda x: length(x) > 2))), '|') AS forms FROM e""",
+)
+
 # --- errors ---
 #: Words of a message (m), an error's type (t) or its trace (s) that name the stage; the first stage wins.
 STAGES = [
@@ -226,12 +269,11 @@ def error_stage(kind: Column, message: Column, trace: Column) -> Column:
 _MESSAGES = ["Validation of steps", "HTTP 429", "read timed out", "status 503", "page rejected", "no text", "no text", "no text", "no text", "no text", "no text"]
 _TRACES = ["", "", "", "", "", "in preformat()", "pass 2 of generate()", "in enrich_recipe()", "httpx.get", "", ""]
 _at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % len(xs) + 1).cast("int"))
-_at_sql = lambda xs: f"CASE event_id % {len(xs)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
 add(
     "AGG-57_error_stages",
     lambda s, d: view(s, d, "progress").where("status = 'error'").groupBy(error_stage(F.when(F.col("event_id") % 11 == 10, "ValidationError"), _at(_MESSAGES), _at(_TRACES)).alias("stage")).agg(F.count("*").alias("n")),
     f"""SELECT CASE WHEN event_id % 11 = 10 THEN 'pass2_validation' {' '.join("WHEN " + " OR ".join(f"contains({c}, '{w}')" for w in words) + f" THEN '{stage}'" for stage, c, words in STAGES)} ELSE 'unknown' END AS stage, count(*) AS n
-      FROM (SELECT event_id, lower({_at_sql(_MESSAGES)}) AS m, lower({_at_sql(_TRACES)}) AS s FROM progress WHERE status = 'error') GROUP BY 1""",
+      FROM (SELECT event_id, lower({_case_of("event_id", _MESSAGES)}) AS m, lower({_case_of("event_id", _TRACES)}) AS s FROM progress WHERE status = 'error') GROUP BY 1""",
 )
 
 QUERIES, SQL = catalog.queries, catalog.sql

@@ -124,3 +124,15 @@ def test_named_ingredients(spark):
     names = spark.createDataFrame([(1, 1, "Eggplant"), (1, 2, "egg"), (1, 3, "egg white"), (1, 4, "olive oil")], "rid long, pos int, name string")
     refs = spark.createDataFrame([(1, x) for x in ("egg", "olive_oil", "oil", "Beaten egg white", "plant", "")], "rid long, ref string")
     assert {r.ref: r.pos for r in named_ingredients(refs, names).collect()} == {"egg": 2, "olive_oil": 4, "oil": 4, "Beaten egg white": 2, "plant": None, "": None}
+
+
+@pytest.mark.parametrize(
+    ("name", "forms"),
+    [
+        ("Beans, green, raw", ["beans, green", "beans, green, raw", "green beans", "green raw beans"]), ("Raw", ["raw"]), ("Baker's Yeast", ["baker yeast"]), ("ox", []), (None, []), ("", []),
+    ],
+)
+def test_name_forms(spark, name, forms):
+    from galley.operators.kitchen import name_forms
+
+    assert one(spark, name_forms(F.col("n")), n=name) == forms
