@@ -10,7 +10,7 @@ below which no global kth score of that query can lie, so it has at most k bins.
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; pairs
 of different lengths are not scored; a query never meets its own row; with fewer than k candidates all are
 returned. Rows that repeat an id count as one vector each as candidates but never match that id's query.
-Scores are exact while they stay within a long.
+Scores are exact integers; components and scores saturate at the range of a long.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from galley.tables import table
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 BITS = 10  # a round's bins for each query: 2^BITS
+LONG = 2**63 - 1
 
 
 def _matrix(vectors: pd.Series, bound: int) -> np.ndarray:
@@ -34,7 +35,12 @@ def _matrix(vectors: pd.Series, bound: int) -> np.ndarray:
 
 
 def _scores(q: pd.DataFrame, c: pd.DataFrame, bound: int) -> np.ndarray:
-    scores = (_matrix(q["vec"], bound) @ _matrix(c["vec"], bound).T).astype(np.int64)
+    a, b = _matrix(q["vec"], bound), _matrix(c["vec"], bound)
+    scores = (a @ b.T).astype(np.int64)
+    if bound > LONG:  # pairs whose product may leave the range of a long: exact integers, then held to it
+        most = [np.abs(m.astype(np.float64)).max(axis=1) for m in (a, b)]
+        for i, j in np.argwhere(np.outer(*most) * a.shape[1] > LONG * (1 - 1e-9)).tolist():
+            scores[i, j] = max(-LONG, min(LONG, sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))))
     scores[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = np.iinfo(np.int64).min  # not a query's own row
     return scores
 
@@ -80,11 +86,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     # one query block and one candidate block meet in one task; how many there are follows the inputs
     n_q, n_c = queries.count(), candidates.count()
     n_qb, n_cb = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CANDIDATE_BLOCK))
-    most = lambda df: df.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
+    # the negative of the least long is no long
+    size = F.transform("vec", lambda x: F.abs(F.greatest(x, F.lit(-LONG))))
+    most = lambda df: df.agg(F.max(F.array_max(size)), F.max(F.size("vec"))).first()
     (a, dims), (b, _) = most(queries), most(candidates)
     bound = max(1, int(a or 0) * int(b or 0) * int(dims or 1))
-    if bound >= 2**62:
-        raise OverflowError(f"inner products of up to {bound} don't fit a long")
+    span = min(bound, LONG)
     candidates = materialize(
         candidates.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_cb)).alias("cb"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))),
@@ -92,13 +99,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     )
     block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_qb)).cast("int")
     # [lo, hi] holds the kth score; need: which of the scores in it, from above, that is
-    state = queries.select("id", "vec", F.size("vec").alias("dim"), block.alias("qb"), F.lit(-bound).cast("long").alias("lo"), F.lit(bound).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
+    state = queries.select("id", "vec", F.size("vec").alias("dim"), block.alias("qb"), F.lit(-span).cast("long").alias("lo"), F.lit(span).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
 
     def met(state: DataFrame, f, schema: str) -> DataFrame:
         left = state.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
         return left.groupBy("qb", "cb", "dim").cogroup(candidates.groupBy("qb", "cb", "dim")).applyInPandas(f, schema)
 
-    shift = max(0, (2 * bound).bit_length() - BITS)  # each round is materialized before the next changes it
+    shift = max(0, (2 * span).bit_length() - BITS)  # each round is materialized before the next changes it
     while True:
         bins = met(state, lambda q, c: _histograms(q, c, shift, k, bound), "id long, bin long, n long")
         bins = bins.groupBy("id", "bin").agg(F.sum("n").alias("n"))

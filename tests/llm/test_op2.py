@@ -45,8 +45,16 @@ def test_edges(spark):
     assert sorted(found(spark, [(1, [2]), (1, [2])], [(2, [4]), (2, [4]), (3, [-1])])) == [(1, 1, 2, 8), (1, 2, 2, 8), (1, 3, 3, -2)]
     big = 2**30
     assert found(spark, [(1, [big])], [(2, [big - 1]), (3, [big])], 1) == [(1, 1, 3, big * big)]
-    with pytest.raises(OverflowError):
-        found(spark, [(1, [2**40])], [(2, [2**40])])
+
+
+def test_outliers_saturate_and_refuse_nothing(spark):
+    rows = [(1, [2**30, 3]), (2, [2**40, 5]), (3, [4, 5]), (4, [-(2**63), 2**63 - 1]), (5, [2**40, 9]), (6, [6, 7])]
+    held = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    expected = set()
+    for q in (1, 2, 3, 4):
+        scored = sorted((-held(sum(x * y for x, y in zip(dict(rows)[q], v, strict=True))), i) for i, v in rows if i != q)
+        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(scored[:3], 1)}
+    assert set(found(spark, rows[:4], rows, 3)) == expected
 
 
 def test_components_are_floored_as_doubles(spark):
