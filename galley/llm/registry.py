@@ -8,7 +8,7 @@ from importlib import import_module
 MODULES = (
     "op1_substring_dedup", "op2_exact_topk", "op3_chat_formatting", "op4_logistic_mixing", "op5_hyperminhash",
     "op6_crf_language_id", "op7_token_counts", "op8_url_filters", "op9_string_tiling", "op10_byte_bpe",
-    "op11_hard_negatives", "op13_filter_audit",
+    "op11_hard_negatives", "op12_suffix_dedup", "op13_filter_audit",
 )
 
 
