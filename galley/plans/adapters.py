@@ -77,6 +77,21 @@ VIEWS = {
         l_linestatus = 'O' AS passive, concat('st', CAST(l_linenumber AS VARCHAR(20))) AS produces,
         CASE l_suppkey % 4 WHEN 0 THEN 'prep' WHEN 1 THEN 'combine' WHEN 2 THEN 'cook' ELSE 'rest' END AS step_type,
         CASE WHEN l_suppkey % 3 = 0 THEN 'sauce' ELSE 'main' END AS sub_recipe FROM lines""",
+    # graphs as the data has them: in a third of the recipes any step may use any state (cycles, later states, missing ones), elsewhere earlier ones (diamonds)
+    "graph_steps": """SELECT l_orderkey AS rid, l_linenumber AS pos, concat('s', CAST(l_linenumber AS VARCHAR(9))) AS id, CASE WHEN l_suppkey % 3 = 0 THEN 'sauce' ELSE 'main' END AS sub,
+        CASE l_partkey % 6 WHEN 0 THEN 'Preheat the oven' WHEN 1 THEN 'Préchauffer le four' WHEN 2 THEN 'Mix' WHEN 3 THEN 'Bake' WHEN 4 THEN 'Chop' ELSE 'Serve' END AS action,
+        CASE WHEN l_partkey % 4 = 0 THEN CAST(NULL AS VARCHAR(20)) WHEN l_partkey % 4 = 1 THEN concat('PT', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(9)), 'M') WHEN l_partkey % 4 = 2 THEN '' ELSE concat(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(9)), 'min') END AS duration,
+        l_linestatus = 'O' AS passive, l_returnflag <> 'N' AS done,
+        CASE WHEN l_suppkey % 17 = 0 THEN CAST(NULL AS VARCHAR(20)) WHEN l_suppkey % 19 = 0 THEN 'st_1' ELSE concat('st_', CAST(l_linenumber AS VARCHAR(9))) END AS produces FROM lines""",
+    "graph_refs": """SELECT * FROM (
+        SELECT l_orderkey AS rid, l_linenumber AS pos, 'uses' AS kind, concat('ing_', CAST(l_linenumber AS VARCHAR(9))) AS ref FROM lines
+        UNION ALL SELECT l_orderkey, l_linenumber, 'uses', concat('ing_', CAST(l_partkey % 4 + 1 AS VARCHAR(9))) FROM lines
+        UNION ALL SELECT l_orderkey, l_linenumber, 'uses', CASE WHEN l_orderkey % 3 = 0 THEN concat('st_', CAST(l_suppkey % 7 + 1 AS VARCHAR(9))) WHEN l_linenumber > 1 THEN concat('st_', CAST(l_suppkey % (l_linenumber - 1) + 1 AS VARCHAR(9))) END FROM lines
+        UNION ALL SELECT l_orderkey, l_linenumber, 'requires', CASE WHEN l_orderkey % 3 = 0 AND l_partkey % 2 = 0 THEN concat('st_', CAST(l_partkey % 7 + 1 AS VARCHAR(9))) WHEN l_orderkey % 3 > 0 AND l_linenumber > 2 THEN concat('st_', CAST(l_partkey % (l_linenumber - 1) + 1 AS VARCHAR(9))) END FROM lines
+        UNION ALL SELECT l_orderkey, l_linenumber, 'requires', concat('pan_', CAST(l_suppkey % 3 AS VARCHAR(9))) FROM lines
+      ) r WHERE ref IS NOT NULL""",
+    "graph_ingredients": "SELECT rid, concat('ing_', CAST(pos AS VARCHAR(9))) AS id, name FROM ingredients",
+    "graph_recipes": "SELECT rid, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final_state FROM recipes",
     "progress": """SELECT event_id, user_id AS id, ts, value, event_type,
         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' ELSE 'in_progress' END AS status,
         CAST(event_id % 4 AS INTEGER) AS step FROM events""",
