@@ -92,6 +92,15 @@ VIEWS = {
       ) r WHERE ref IS NOT NULL""",
     "graph_ingredients": "SELECT rid, concat('ing_', CAST(pos AS VARCHAR(9))) AS id, name FROM ingredients",
     "graph_recipes": "SELECT rid, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final_state FROM recipes",
+    # commands of imports, a minute of the events in a second
+    "commands": """SELECT event_id, user_id AS id, CAST(floor((((extract(day FROM ts) * 24 + extract(hour FROM ts)) * 60 + extract(minute FROM ts)) * 60 + CAST(floor(extract(second FROM ts)) AS INTEGER)) / 60) AS BIGINT) AS tick,
+        CASE WHEN event_type = 'signup' THEN 'register' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'complete' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'error'
+             WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'subscribe' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'unsubscribe' ELSE 'step' END AS command,
+        CASE event_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'text' ELSE 'image' END AS kind,
+        CASE event_id % 7 WHEN 0 THEN 'check_existence' WHEN 1 THEN 'scrape_content' WHEN 2 THEN 'structure_recipe' WHEN 3 THEN 'save_recipe' WHEN 4 THEN 'generate_recipe' WHEN 5 THEN 'ocr_extract' ELSE 'structure_recipe' END AS step,
+        CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' OR value < 20 THEN 'completed' ELSE 'in_progress' END AS status, CAST(event_id % 101 AS INTEGER) AS progress,
+        CASE WHEN event_id % 4 = 1 THEN '' ELSE concat('note ', CAST(event_id % 11 AS VARCHAR(9))) END AS message, concat('queue ', CAST(event_id % 2 AS VARCHAR(9))) AS queue,
+        concat('recipe-', CAST(event_id AS VARCHAR(20))) AS slug FROM events""",
     "progress": """SELECT event_id, user_id AS id, ts, value, event_type,
         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' ELSE 'in_progress' END AS status,
         CAST(event_id % 4 AS INTEGER) AS step FROM events""",
