@@ -92,6 +92,17 @@ VIEWS = {
       ) r WHERE ref IS NOT NULL""",
     "graph_ingredients": "SELECT rid, concat('ing_', CAST(pos AS VARCHAR(9))) AS id, name FROM ingredients",
     "graph_recipes": "SELECT rid, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final_state FROM recipes",
+    "preformat_lines": """SELECT rid, pos, CASE WHEN (rid + pos) % 13 = 0 THEN concat('Vous pouvez garder ', name) ELSE concat('- ', coalesce(CAST(CAST(quantity AS INTEGER) AS VARCHAR(9)), ''), coalesce(unit, ''), ' «', name,
+        CASE WHEN (rid + pos) % 3 = 0 THEN ' frais' ELSE '' END, '» [',
+        CASE (rid + pos) % 8 WHEN 0 THEN concat(CAST(pos AS VARCHAR(9)), ' 1/2 ', coalesce(unit, 'cups'), ' ') WHEN 1 THEN concat('1/', CAST(pos + 1 AS VARCHAR(9)), ' cup ') WHEN 2 THEN 'pinch of ' WHEN 3 THEN '' WHEN 4 THEN concat(coalesce(CAST(CAST(quantity AS INTEGER) AS VARCHAR(9)), ''), 'g ')
+          WHEN 5 THEN concat(CAST(pos AS VARCHAR(9)), '.5 tablespoons ') WHEN 6 THEN concat(CAST(pos AS VARCHAR(9)), ' small cloves ') ELSE concat(CAST(pos AS VARCHAR(9)), ' ') END, name,
+        CASE WHEN pos % 3 = 0 THEN ', chopped' ELSE '' END, '] {', CASE WHEN rid % 9 = 0 THEN 'odd' ELSE category END, '}', CASE (rid + pos) % 5 WHEN 0 THEN ' (optional)' WHEN 1 THEN ' (bien mûr), émincé' WHEN 2 THEN ' (à volonté), en dés [diced],' WHEN 3 THEN ', haché' ELSE '' END) END AS line
+      FROM ingredients WHERE name <> ''""",
+    "named_ids": """SELECT rid, pos, concat(replace(name, ' ', '_'), CASE WHEN pos % 3 = 0 THEN concat('_', CAST(pos AS VARCHAR(9))) ELSE '' END) AS id, CASE WHEN pos % 4 = 0 THEN concat('Fresh ', name) WHEN pos % 4 = 1 THEN concat('huile de ', name, '-bio') ELSE concat(name, ' ') END AS name,
+        CASE WHEN pos % 5 > 0 THEN name END AS name_en FROM ingredients WHERE name <> ''""",
+    "loose_refs": """SELECT rid, pos, CASE WHEN pos % 5 = 0 THEN 'requires' ELSE 'uses' END AS kind, CAST(pos AS INTEGER) AS k, CASE (rid + pos) % 7 WHEN 0 THEN replace(name, ' ', '_') WHEN 1 THEN concat(replace(name, ' ', '_'), '_2') WHEN 2 THEN regexp_replace(name, '^.* ', '')
+        WHEN 3 THEN concat('Chopped_', replace(name, ' ', '_')) WHEN 4 THEN concat('st_', CAST(rid % 5 AS VARCHAR(9))) WHEN 5 THEN concat('unknown_', CAST(pos AS VARCHAR(9))) ELSE upper(name) END AS ref FROM ingredients WHERE name <> ''
+      UNION ALL SELECT rid, pos, 'requires', 100, concat('st_', CAST((rid + pos) % 8 AS VARCHAR(9)), '_4') FROM ingredients""",
     # commands of imports, a minute of the events in a second
     "commands": """SELECT event_id, user_id AS id, CAST(floor((((extract(day FROM ts) * 24 + extract(hour FROM ts)) * 60 + extract(minute FROM ts)) * 60 + CAST(floor(extract(second FROM ts)) AS INTEGER)) / 60) AS BIGINT) AS tick,
         CASE WHEN event_type = 'signup' THEN 'register' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'complete' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'error'
@@ -136,7 +147,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a table, as a DataFrame."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    text = with_views(f"SELECT * FROM {name}")
+    text = with_views(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}")
     frames = {n: table(spark, sf_dir, n) for n in _needed(text, BASE)}
     for n in frames:
         text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
