@@ -53,8 +53,15 @@ def key(c: Column) -> Column:
 
 
 def before_alternative(c: Column) -> Column:
-    """What stands before a slash, then before the word or."""
-    return F.trim(F.split(F.split_part(F.lower(F.trim(c)), F.lit("/"), F.lit(1)), r"\bor\b").getItem(0))
+    """What stands before a slash, then before the word or; letters keep their case."""
+    first = F.when(c.contains("/"), F.trim(F.split_part(c, F.lit("/"), F.lit(1)))).otherwise(c)
+    parts = F.split(first, r"(?i)\bor\b")
+    return F.when(F.size(parts) > 1, F.trim(parts.getItem(0))).otherwise(first)
+
+
+def sql_before_alternative(e: str) -> str:
+    first = f"(CASE WHEN contains({e}, '/') THEN trim(split_part({e}, '/', 1)) ELSE {e} END)"
+    return f"(CASE WHEN regexp_matches({first}, '(?i)\\bor\\b') THEN trim(regexp_split_to_array({first}, '(?i)\\bor\\b')[1]) ELSE {first} END)"
 
 
 def singular(c: Column) -> Column:

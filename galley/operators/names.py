@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import display, text
+from galley.functions import display, foodwords, text
+from galley.functions.foodwords import key_words
 from galley.functions.segments import segments
 from galley.functions.units import lookup, rounded, sql_rounded
 from galley.operators.nutrition import PROFILES_SQL, profiles_of
@@ -127,15 +128,6 @@ LIGHT = [
     "eggplant", "milk", "yogurt", "yoghurt", "fish", "shrimp", "prawn", "crab",
 ]
 LIGHT_CEILING = 400
-PLAIN_WORDS = ("the", "and", "fresh", "with", "for")
-
-
-def key_words(c):
-    """Stems of the words that name a food."""
-    found = F.transform(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda x: ~x.isin(*PLAIN_WORDS)), text.stem)
-    return F.filter(found, lambda x: (F.length(x) > 2) & ~x.isin(*PLAIN_WORDS))
-
-
 def valid_match(query, matched, kcal):
     """Two of the query's key words, or all, stand in the match; none of its other words changes the kind; light foods stay light."""
     q, m = key_words(text.before_alternative(query)), key_words(matched)
@@ -153,11 +145,10 @@ def candidate_matches(names: DataFrame, foods: DataFrame) -> DataFrame:
     return n.join(f.select("*", F.explode(F.array_distinct(key_words(F.col("food")))).alias("w")), "w").select("name", "id", "food", "kcal").distinct()
 
 
-_STEM = "CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN left(x, length(x) - 3) || 'y' WHEN x LIKE '%oes' THEN left(x, length(x) - 2) WHEN x LIKE '%es' AND length(x) > 3 THEN left(x, length(x) - 2) WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 2 THEN left(x, length(x) - 1) ELSE x END"
-_keys = lambda e: f"list_filter(list_transform(list_filter(regexp_extract_all(lower({e}), '[a-z]+'), lambda x: x NOT IN {PLAIN_WORDS}), lambda x: {_STEM}), lambda x: length(x) > 2 AND x NOT IN {PLAIN_WORDS})"
+_keys = foodwords.sql_key_words
 add("JOI-5_match_validation", lambda s, d: candidate_matches(view(s, d, "ingredients"), view(s, d, "foods")).select("name", "id", valid_match(F.col("name"), F.col("food"), F.col("kcal")).alias("valid")),
-    f"""WITH n AS (SELECT DISTINCT name, {_keys('name')} AS q FROM ingredients WHERE name <> ''), f AS (SELECT id, kcal, {_keys("name || CASE WHEN id % 7 = 0 THEN ' pie' ELSE '' END")} AS m FROM foods)
-      SELECT name, id, len(list_filter(q, lambda x: list_contains(m, x))) >= least(len(q), 2) AND NOT list_has_any(list_filter(m, lambda x: NOT list_contains(q, x)), {CHANGERS}) AND NOT (kcal > {LIGHT_CEILING} AND list_has_any(q, {LIGHT})) AS valid
+    f"""WITH n AS (SELECT DISTINCT name, {_keys(text.sql_before_alternative('name'))} AS q FROM ingredients WHERE name <> ''), f AS (SELECT id, kcal, {_keys("name || CASE WHEN id % 7 = 0 THEN ' pie' ELSE '' END")} AS m FROM foods)
+      SELECT name, id, len(q) = 0 OR len(list_filter(q, lambda x: list_contains(m, x))) >= least(len(q), 2) AND NOT list_has_any(list_filter(m, lambda x: NOT list_contains(q, x)), {CHANGERS}) AND NOT (kcal > {LIGHT_CEILING} AND list_has_any(q, {LIGHT})) AS valid
       FROM n JOIN f ON list_has_any(q, m)""")
 
 _FORMS = ["raw", "canned", "plain, unenriched", "dried, cooked", "unsweetened, frozen"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galley import dims
-from galley.functions import text, time
+from galley.functions import foodwords, text, time
 from galley.functions.units import broken_fraction, lookup, round_half_up, rounded, sql_rounded, sql_text_quantity, text_quantity
 from galley.plans.adapters import view, with_views
 from galley.plans.catalog import Catalog
@@ -53,7 +53,7 @@ on_texts("STR-5_ingredient_id", lambda: text.ingredient_id(t()), f"regexp_replac
 on_texts("STR-6_title_cleanup", lambda: text.clean_title(t()), "trim(regexp_replace(trim(t), ' *[(][^)]*[)]$', ''))")
 on("STR-7_title_cleanup_script", "recipes", "rid", lambda: text.clean_title(F.col("title")), "trim(regexp_replace(trim(title), ' *[(][^)]*[)]$', ''))")
 on_texts("STR-8_key_normalise", lambda: text.key(t()), "trim(regexp_replace(regexp_replace(lower(t), '[,;.()]', ' ', 'g'), '\\s+', ' ', 'g'))")
-on_texts("STR-11_query_preprocess", lambda: text.before_alternative(t()), "trim(regexp_split_to_array(split_part(lower(trim(t)), '/', 1), '\\bor\\b')[1])", SHORT)
+on_texts("STR-11_query_preprocess", lambda: text.before_alternative(t()), text.sql_before_alternative("t"), SHORT)
 from galley.operators.nutrition import sql_singular  # noqa: E402
 
 on_texts("STR-12_depluralise", lambda: text.singular(F.lower(t())), f"(SELECT {sql_singular('x')} FROM (SELECT lower(t) AS x))", SHORT)
@@ -80,19 +80,18 @@ catalog.add(
     lambda s, d: view(s, d, "ingredients").groupBy("rid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("value")),
     with_views("SELECT rid, string_agg('- ' || name, chr(10) ORDER BY pos) AS value FROM ingredients GROUP BY rid"),
 )
-KEY_STOP = ("the", "and", "fresh", "with", "for")
 catalog.add(
     "STR-10_key_words",
-    lambda s, d: texts(s, d).select("src", "i", F.array_join(F.filter(F.regexp_extract_all(F.lower(t()), F.lit("[a-z]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(*KEY_STOP)), " ").alias("value")),
-    with_views(f"SELECT src, i, array_to_string(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN {KEY_STOP}), ' ') AS value FROM texts"),
+    lambda s, d: texts(s, d).select("src", "i", F.array_join(foodwords.key_words(t()), " ").alias("value")),
+    with_views(f"SELECT src, i, array_to_string({foodwords.sql_key_words('t')}, ' ') AS value FROM texts"),
 )
 _word_sql = {
-    "STR-9_word_stem": "CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x LIKE '%oes' THEN x[:-3] WHEN x LIKE '%es' AND length(x) > 3 THEN x[:-3] WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 2 THEN x[:-2] ELSE x END",
+    "STR-9_word_stem": foodwords.SQL_STEM,
     "STR-13_depluralise_usda": "CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x LIKE '%oes' AND length(x) > 4 THEN x[:-3] WHEN x LIKE '%ves' AND length(x) > 5 THEN x[:-2] "
     "WHEN x LIKE '%ches' OR x LIKE '%shes' OR x LIKE '%xes' OR x LIKE '%zes' OR (x LIKE '%ses' AND length(x) > 5) THEN x[:-3] WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 3 THEN x[:-2] ELSE x END",
     "STR-15_lookup_stem": "CASE WHEN x LIKE '%ies' THEN x[:-4] || 'y' WHEN x LIKE '%oes' THEN x[:-3] WHEN x LIKE '%es' AND length(x) > 3 THEN x[:-3] WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 2 THEN x[:-2] ELSE x END",
 }
-for _name, _f in (("STR-9_word_stem", text.stem), ("STR-13_depluralise_usda", text.portion_singular), ("STR-15_lookup_stem", text.lookup_stem)):
+for _name, _f in (("STR-9_word_stem", foodwords.word_stem), ("STR-13_depluralise_usda", text.portion_singular), ("STR-15_lookup_stem", text.lookup_stem)):
     # the distinct words of all texts, by first letters of the Latin alphabet
     catalog.add(
         _name,
