@@ -128,9 +128,13 @@ LIGHT = [
     "eggplant", "milk", "yogurt", "yoghurt", "fish", "shrimp", "prawn", "crab",
 ]
 LIGHT_CEILING = 400
-def valid_match(query, matched, kcal):
-    """Two of the query's key words, or all, stand in the match; none of its other words changes the kind; light foods stay light."""
-    q, m = key_words(text.before_alternative(query)), key_words(matched)
+def query_words(query):
+    """The key words of what stands before an alternative."""
+    return key_words(text.before_alternative(query))
+
+
+def valid_words(q, m, kcal):
+    """Two of the query's key words ``q``, or all, stand in the match's ``m``; none of its other words changes the kind; light foods stay light."""
     shared = F.size(F.filter(q, lambda x: F.array_contains(m, x)))
     listed = lambda xs: F.array(*[F.lit(x) for x in xs])
     other_kind = F.arrays_overlap(F.array_except(m, q), listed(CHANGERS))
@@ -138,6 +142,11 @@ def valid_match(query, matched, kcal):
     return (F.size(q) == 0) | ((shared >= F.least(F.size(q), F.lit(2))) & ~other_kind & ~heavy)
 
 
+def valid_match(query, matched, kcal):
+    """Whether a food may stand for a query, by their words and its calories."""
+    return valid_words(query_words(query), key_words(matched), kcal)
+
+
 def candidate_matches(names: DataFrame, foods: DataFrame) -> DataFrame:
     """(name, id, food, kcal) of names and foods that share a key word."""
     n = names.select("name").where("name <> ''").distinct().select("name", F.explode(F.array_distinct(key_words(F.col("name")))).alias("w"))

@@ -92,6 +92,15 @@ VIEWS = {
       ) r WHERE ref IS NOT NULL""",
     "graph_ingredients": "SELECT rid, concat('ing_', CAST(pos AS VARCHAR(9))) AS id, name FROM ingredients",
     "graph_recipes": "SELECT rid, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final_state FROM recipes",
+    "wanted": """SELECT DISTINCT CASE pos % 8 WHEN 0 THEN name WHEN 1 THEN concat('Fresh ', name, ', chopped') WHEN 2 THEN concat(name, ' sauce') WHEN 3 THEN concat(name, '/lard') WHEN 4 THEN concat(name, 's')
+        WHEN 5 THEN concat('wild ', name, ' or butter') WHEN 6 THEN concat(name, 'ee') ELSE concat('some ', upper(name), ' stock') END AS name FROM ingredients WHERE name <> ''""",
+    "indexed": """SELECT name, min(id) AS id, min_by(kcal, id) AS kcal FROM (
+        SELECT id, kcal, CASE id % 5 WHEN 0 THEN name WHEN 1 THEN concat(name, ', raw') WHEN 2 THEN concat(name, ' pie') WHEN 3 THEN concat('Whole ', name) ELSE concat(name, 'e') END AS name FROM foods) f GROUP BY name""",
+    "listed": f"""SELECT name, min(id) AS id, min_by(unit, id) AS unit, min_by(grams, id) AS grams FROM (
+        SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS grams, CASE p_partkey % 3 WHEN 0 THEN 'cup' WHEN 1 THEN 'slice' ELSE 'piece' END AS unit,
+          CASE p_partkey % 7 WHEN 0 THEN concat(n, 's, raw') WHEN 1 THEN CASE WHEN position(' ' IN n) > 0 THEN concat(split_part(n, ' ', 2), ', ', split_part(n, ' ', 1), ', salad or cooking') ELSE concat(n, ', table') END
+            WHEN 2 THEN concat(n, ' (', c, '), whole, cooked') WHEN 3 THEN concat('Nuts, ', n, ' nuts, raw') WHEN 4 THEN concat(upper(n), ', mature seeds, without salt') WHEN 5 THEN concat(n, ', sweet, fresh berries, NFS') ELSE n END AS name
+        FROM (SELECT *, {_NAME("p_partkey")} AS n, {_CATEGORY("p_partkey")} AS c FROM part) p) q GROUP BY name""",
     "preformat_lines": """SELECT rid, pos, CASE WHEN (rid + pos) % 13 = 0 THEN concat('Vous pouvez garder ', name) ELSE concat('- ', coalesce(CAST(CAST(quantity AS INTEGER) AS VARCHAR(9)), ''), coalesce(unit, ''), ' «', name,
         CASE WHEN (rid + pos) % 3 = 0 THEN ' frais' ELSE '' END, '» [',
         CASE (rid + pos) % 8 WHEN 0 THEN concat(CAST(pos AS VARCHAR(9)), ' 1/2 ', coalesce(unit, 'cups'), ' ') WHEN 1 THEN concat('1/', CAST(pos + 1 AS VARCHAR(9)), ' cup ') WHEN 2 THEN 'pinch of ' WHEN 3 THEN '' WHEN 4 THEN concat(coalesce(CAST(CAST(quantity AS INTEGER) AS VARCHAR(9)), ''), 'g ')
