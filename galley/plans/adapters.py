@@ -92,6 +92,15 @@ VIEWS = {
       ) r WHERE ref IS NOT NULL""",
     "graph_ingredients": "SELECT rid, concat('ing_', CAST(pos AS VARCHAR(9))) AS id, name FROM ingredients",
     "graph_recipes": "SELECT rid, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final_state FROM recipes",
+    # recipe documents with faults: broken and bare ones, wrong values, repeated ids
+    "doc_heads": """SELECT rid, slug, rid % 97 = 5 AS broken, rid % 89 = 7 AS bare, CASE WHEN rid % 17 = 0 THEN ' ' ELSE title END AS title, CASE rid % 13 WHEN 0 THEN CAST(NULL AS VARCHAR(9)) WHEN 1 THEN '0' WHEN 2 THEN '60' WHEN 3 THEN 'four' ELSE CAST(servings AS VARCHAR(9)) END AS servings,
+        CASE WHEN rid % 11 = 0 THEN 'odd' WHEN rid % 11 = 1 THEN '' ELSE difficulty END AS difficulty, CASE WHEN rid % 10 = 0 THEN 'soup' ELSE recipe_type END AS recipe_type, CASE rid % 7 WHEN 0 THEN '-5' WHEN 1 THEN '2000' WHEN 2 THEN 'PT5M' ELSE CAST(total_minutes AS VARCHAR(9)) END AS total_time,
+        CAST(CASE rid % 8 WHEN 0 THEN -1 WHEN 1 THEN 5 WHEN 2 THEN 4000 WHEN 3 THEN NULL ELSE 400 END AS VARCHAR(9)) AS calories, CAST(CASE WHEN rid % 19 = 0 THEN -2 ELSE 20 END AS VARCHAR(9)) AS protein, CAST(CASE WHEN rid % 23 = 0 THEN -3 ELSE 20 END AS VARCHAR(9)) AS fat,
+        CAST(CASE WHEN rid % 29 = 0 THEN -4 ELSE 20 END AS VARCHAR(9)) AS carbs, CASE rid % 4 WHEN 0 THEN 'Blog Marmiton' WHEN 1 THEN 'Cookie and Kate' WHEN 2 THEN 'papilles et pupilles' END AS source, concat('st_', CAST(rid % 9 AS VARCHAR(9))) AS final FROM recipes""",
+    "doc_ingredients": """SELECT rid, pos, CASE WHEN pos = 6 THEN '' WHEN pos = 5 AND rid % 3 = 0 THEN 'ing_1' ELSE concat('ing_', CAST(pos AS VARCHAR(9))) END AS id, CASE WHEN rid % 5 = 0 AND pos = 2 THEN ' ' ELSE name END AS name,
+        CASE (rid + pos) % 9 WHEN 0 THEN '-1' WHEN 1 THEN '0' WHEN 2 THEN 'some' WHEN 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '2' END AS quantity, optional, CASE WHEN (rid + pos) % 12 = 0 THEN 'odd' ELSE category END AS category FROM ingredients""",
+    "doc_steps": """SELECT rid, pos, CASE WHEN pos = 4 AND rid % 4 = 0 THEN '' WHEN pos = 3 AND rid % 4 = 1 THEN 's1' ELSE id END AS id, CASE WHEN pos = 2 AND rid % 6 = 0 THEN ' ' ELSE action END AS action, CASE WHEN (rid + pos) % 10 = 0 THEN 'mix' ELSE 'cook' END AS step_type,
+        CASE (rid + pos) % 8 WHEN 0 THEN '400' WHEN 1 THEN '-10' WHEN 2 THEN 'hot' WHEN 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '180' END AS temperature, produces FROM graph_steps""",
     "wanted": """SELECT DISTINCT CASE pos % 8 WHEN 0 THEN name WHEN 1 THEN concat('Fresh ', name, ', chopped') WHEN 2 THEN concat(name, ' sauce') WHEN 3 THEN concat(name, '/lard') WHEN 4 THEN concat(name, 's')
         WHEN 5 THEN concat('wild ', name, ' or butter') WHEN 6 THEN concat(name, 'ee') ELSE concat('some ', upper(name), ' stock') END AS name FROM ingredients WHERE name <> ''""",
     "indexed": """SELECT name, min(id) AS id, min_by(kcal, id) AS kcal FROM (
