@@ -237,17 +237,17 @@ def final_index(keys: DataFrame, matched: DataFrame) -> DataFrame:
 _SQL_KEY = lambda e: f"trim(regexp_replace(regexp_replace(lower({e}), '[,;.()]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _GRAMS = lambda e: f"list_distinct(list_transform(range(1, length({e}) + 2), lambda i: substr('  ' || lower({e}) || ' ', i, 3)))"
 _COSINE = "len(list_intersect(a.g, b.g)) / sqrt(CAST(len(a.g) * len(b.g) AS DOUBLE))"
-_CACHE = f"SELECT DISTINCT {_SQL_KEY('name')} AS key, CASE WHEN length({_SQL_KEY('name')}) % 4 > 0 THEN CAST(length(name) AS BIGINT) END AS id FROM wanted WHERE length({_SQL_KEY('name')}) % 6 = 0"
+_CACHE = f"SELECT DISTINCT {_SQL_KEY('name')} AS key, CASE WHEN length({_SQL_KEY('name')}) % 4 > 0 THEN CAST(length(name) AS BIGINT) END AS id FROM wanted_names WHERE length({_SQL_KEY('name')}) % 6 = 0"
 
 
 def _cache(s, d) -> DataFrame:
     key = text.key(F.col("name"))
-    return kept(view(s, d, "wanted")).where(F.length(key) % 6 == 0).select(key.alias("key"), F.when(F.length(key) % 4 > 0, F.length("name").cast("bigint")).alias("id"))
+    return kept(view(s, d, "wanted_names")).where(F.length(key) % 6 == 0).select(key.alias("key"), F.when(F.length(key) % 4 > 0, F.length("name").cast("bigint")).alias("id"))
 
 
 _VALID = f"""len(q) = 0 OR (len(list_filter(q, lambda x: list_contains(m, x))) >= least(len(q), 2) AND NOT list_has_any(list_filter(m, lambda x: NOT list_contains(q, x)), {CHANGERS}) AND NOT (kcal > {LIGHT_CEILING} AND list_has_any(q, {LIGHT})))"""
-add("JOI-4_match_ladder", lambda s, d: match_ladder(view(s, d, "wanted"), _cache(s, d), view(s, d, "indexed")).withColumn("score", F.floor(F.col("score") * 1_000_000)), f"""WITH cached AS (SELECT key, max(id) AS id FROM ({_CACHE}) GROUP BY key),
-  w AS (SELECT name, {_SQL_KEY('name')} AS key FROM wanted), ix AS (SELECT * FROM indexed),
+add("JOI-4_match_ladder", lambda s, d: match_ladder(view(s, d, "wanted_names"), _cache(s, d), view(s, d, "food_index")).withColumn("score", F.floor(F.col("score") * 1_000_000)), f"""WITH cached AS (SELECT key, max(id) AS id FROM ({_CACHE}) GROUP BY key),
+  w AS (SELECT name, {_SQL_KEY('name')} AS key FROM wanted_names), ix AS (SELECT * FROM food_index),
   c AS (SELECT w.name, w.key, 'cache' AS tier, c.id, NULL AS score FROM w JOIN cached c ON c.key = w.key), w1 AS (SELECT * FROM w WHERE key NOT IN (SELECT key FROM cached)),
   m AS (SELECT name, key, 'composite' AS tier, CAST(NULL AS BIGINT) AS id, NULL AS score FROM w1 WHERE trim(lower(name)) NOT IN {_quoted(KNOWN_SAUCES)} AND (trim(lower(name)) IN {_quoted(MIXTURES)} OR {" OR ".join(f"ends_with(trim(lower(name)), '{e}')" for e in MIXTURE_ENDS)})),
   w2 AS (SELECT * FROM w1 WHERE name NOT IN (SELECT name FROM m)),
@@ -261,7 +261,7 @@ add("JOI-4_match_ladder", lambda s, d: match_ladder(view(s, d, "wanted"), _cache
   SELECT name, key, tier, id, CAST(floor(score * 1000000) AS BIGINT) AS score FROM a""")
 _ONE = lambda x: f"CASE WHEN {x} LIKE '%ies' AND length({x}) > 4 THEN left({x}, length({x}) - 3) || 'y' WHEN {x} LIKE '%oes' AND length({x}) > 4 THEN left({x}, length({x}) - 2) WHEN {x} LIKE '%ves' AND length({x}) > 5 THEN left({x}, length({x}) - 1) WHEN {x} LIKE '%ches' OR {x} LIKE '%shes' OR {x} LIKE '%xes' OR {x} LIKE '%zes' OR ({x} LIKE '%ses' AND length({x}) > 5) THEN left({x}, length({x}) - 2) WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' AND length({x}) > 3 THEN left({x}, length({x}) - 1) ELSE {x} END"
 _MANY = lambda x: f"CASE WHEN {x} LIKE '%y' AND {x} NOT LIKE '%ey' THEN left({x}, length({x}) - 1) || 'ies' WHEN regexp_matches({x}, '(s|sh|ch|x|z)$') THEN {x} || 'es' ELSE {x} || 's' END"
-_KEYS = f"""k0 AS (SELECT id, name, lower(trim(name)) AS l FROM listed), k1 AS (SELECT *, trim(split_part(l, ',', 1)) AS p0, trim(regexp_replace(trim(regexp_replace(l, ',?\\s*\\b(?:{LISTED_ENDS})\\b.*$', '')), ',+$', '')) AS sh FROM k0),
+_KEYS = f"""k0 AS (SELECT id, name, lower(trim(name)) AS l FROM listed_foods), k1 AS (SELECT *, trim(split_part(l, ',', 1)) AS p0, trim(regexp_replace(trim(regexp_replace(l, ',?\\s*\\b(?:{LISTED_ENDS})\\b.*$', '')), ',+$', '')) AS sh FROM k0),
   k2 AS (SELECT *, list_filter(list_transform(string_split(sh, ','), lambda p: trim(p)), lambda p: p <> '' AND p NOT IN {_quoted(LISTED_WORDS)}) AS ps FROM k1),
   k3 AS (SELECT *, array_to_string(ps[2:], ' ') AS aft, len(ps) AS np FROM k2),
   r1 AS (SELECT id, name, p0 AS k FROM k3 UNION SELECT id, name, {_ONE('p0')} FROM k3 UNION SELECT id, name, {_MANY('o')} FROM (SELECT *, {_ONE('p0')} AS o FROM k3)
@@ -273,14 +273,14 @@ _KEYS = f"""k0 AS (SELECT id, name, lower(trim(name)) AS l FROM listed), k1 AS (
   r5 AS (SELECT * FROM r4 UNION SELECT id, name, CASE WHEN starts_with(k, 'fresh ') THEN substr(k, 7) ELSE 'fresh ' || k END FROM r4 WHERE starts_with(k, 'fresh ') OR length(k) > 3),
   r6 AS (SELECT * FROM r5 UNION SELECT id, name, CASE k {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in OTHER_NAMES.items())} END FROM r5 WHERE k IN {_quoted(OTHER_NAMES)}),
   keys AS (SELECT DISTINCT * FROM (SELECT id, name, trim(regexp_replace(regexp_replace(k, '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS key FROM r6) WHERE length(key) > 2)"""
-add("SET-6_lookup_keys", lambda s, d: with_lookup_keys(view(s, d, "listed")).select("id", "name", F.explode("keys").alias("key")), f"WITH {_KEYS} SELECT id, name, key FROM keys")
+add("SET-6_lookup_keys", lambda s, d: with_lookup_keys(view(s, d, "listed_foods")).select("id", "name", F.explode("keys").alias("key")), f"WITH {_KEYS} SELECT id, name, key FROM keys")
 
 
 
 def _portion_pairs(s, d) -> DataFrame:
-    pairs = alike(view(s, d, "wanted"), view(s, d, "listed"), 0.4).select("name", "id")
-    asked = view(s, d, "wanted").select("name", portion_words(F.col("name")).alias("q"))
-    foods = view(s, d, "listed").select("id", F.lower("name").alias("low"), first_words(F.col("name")).alias("own"))
+    pairs = alike(view(s, d, "wanted_names"), view(s, d, "listed_foods"), 0.4).select("name", "id")
+    asked = view(s, d, "wanted_names").select("name", portion_words(F.col("name")).alias("q"))
+    foods = view(s, d, "listed_foods").select("id", F.lower("name").alias("low"), first_words(F.col("name")).alias("own"))
     return pairs.join(asked, "name").join(foods, "id").select("name", "id", valid_portion(F.col("q"), F.col("own"), F.col("low")).alias("valid"))
 
 
@@ -292,13 +292,13 @@ _FORMS_OF = "flatten(list_transform(q, lambda w: [w, w || 's', CASE WHEN w LIKE
 _PORTION_OK = f"""list_has_any(f, own) AND NOT ({_ANY('own', DISHES)} AND NOT {_ANY('q', DISHES)}) AND NOT ({_ANY('q', SPICES)} AND NOT {_ANY('q', SWEET_PEPPERS)} AND {_ANY('own', ['pepper', 'peppers'])} AND {_ANY('own', SWEET_PEPPERS)})
   AND NOT ({_ANY('q', SEEDED)} AND {_ANY('own', ['seed', 'seeds'])} AND NOT list_has_any(f, list_filter(own, lambda x: x NOT IN ('seed', 'seeds')))) AND NOT (list_contains(q, 'milk') AND contains(low, 'human'))
   AND NOT (list_contains(q, 'yeast') AND (contains(low, 'extract') OR contains(low, 'spread')) AND NOT {_ANY('q', ['extract', 'spread'])}) AND NOT (list_contains(q, 'baking') AND {_ANY('q', ['soda', 'powder'])} AND contains(low, 'chocolate'))"""
-_ASKED = f"a0 AS (SELECT name, {_GRAMS('name')} AS g, {_Q} AS q FROM wanted), asked AS (SELECT *, {_FORMS_OF} AS f FROM a0), food AS (SELECT id, {_GRAMS('name')} AS g, lower(name) AS low, {_WORDS('split_part(lower(name), chr(44), 1)')} AS own FROM listed)"
+_ASKED = f"a0 AS (SELECT name, {_GRAMS('name')} AS g, {_Q} AS q FROM wanted_names), asked AS (SELECT *, {_FORMS_OF} AS f FROM a0), food AS (SELECT id, {_GRAMS('name')} AS g, lower(name) AS low, {_WORDS('split_part(lower(name), chr(44), 1)')} AS own FROM listed_foods)"
 add("JOI-7_portion_validation", _portion_pairs, f"WITH {_ASKED} SELECT a.name, b.id, {_PORTION_OK} AS valid FROM asked a JOIN food b ON {_COSINE} >= 0.4")
 _PRIORITY = lambda: _priority_sql.replace("lower(name)", "key").replace("shown", "name")
 _INDEX = f"{_KEYS}, ki AS (SELECT key, id, name FROM keys QUALIFY row_number() OVER (PARTITION BY key ORDER BY {_PRIORITY()} DESC, id) = 1)"
-add("AGG-62_key_index", lambda s, d: key_index(view(s, d, "listed")), f"WITH {_INDEX} SELECT key, id, name FROM ki")
+add("AGG-62_key_index", lambda s, d: key_index(view(s, d, "listed_foods")), f"WITH {_INDEX} SELECT key, id, name FROM ki")
 _BARE = f"NOT IN {_quoted(PORTION_WORDS)}"
-_MATCHED = f"""{_INDEX}, {_ASKED}, n0 AS (SELECT name, {_SQL_KEY('name')} AS key FROM wanted), n1 AS (SELECT *, string_split(key, ' ') AS ws, list_filter(string_split(key, ' '), lambda w: w {_BARE}) AS bw FROM n0),
+_MATCHED = f"""{_INDEX}, {_ASKED}, n0 AS (SELECT name, {_SQL_KEY('name')} AS key FROM wanted_names), n1 AS (SELECT *, string_split(key, ' ') AS ws, list_filter(string_split(key, ' '), lambda w: w {_BARE}) AS bw FROM n0),
   n2 AS (SELECT *, CASE WHEN contains(key, ' or ') THEN trim(split_part(key, ' or ', 1)) ELSE '' END AS alt FROM n1), n3 AS (SELECT *, list_filter(string_split(alt, ' '), lambda w: w {_BARE}) AS aw FROM n2),
   tr AS (SELECT name, list_filter(list_concat([key, array_to_string(bw, ' ')], list_concat(list_filter(list_reverse(CASE WHEN len(bw) > 0 THEN bw ELSE ws END), lambda w: length(w) >= 3), [alt, array_to_string(aw, ' '), aw[len(aw)]])), lambda x: coalesce(x, '') <> '') AS ts FROM n3),
   t1 AS (SELECT name, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS t FROM tr), t2 AS (SELECT *, {_ONE('t')} AS o FROM t1),
@@ -308,11 +308,11 @@ _MATCHED = f"""{_INDEX}, {_ASKED}, n0 AS (SELECT name, {_SQL_KEY('name')} AS key
   ten AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS r FROM near QUALIFY r <= 15),
   ok AS (SELECT name, id, score FROM ten WHERE {_PORTION_OK} QUALIFY row_number() OVER (PARTITION BY name ORDER BY r) = 1),
   matched AS (SELECT name, 'exact' AS tier, id, 1.0 AS score FROM hit UNION ALL SELECT n0.name, CASE WHEN ok.id IS NULL THEN 'none' WHEN ok.score >= {SURE} THEN 'sure' ELSE 'judge' END, ok.id, ok.score FROM n0 LEFT JOIN ok ON ok.name = n0.name WHERE n0.name NOT IN (SELECT name FROM hit))"""
-_matched = lambda s, d: match_portions(view(s, d, "wanted"), key_index(view(s, d, "listed")), view(s, d, "listed"))
+_matched = lambda s, d: match_portions(view(s, d, "wanted_names"), key_index(view(s, d, "listed_foods")), view(s, d, "listed_foods"))
 add("JOI-6_portion_match", lambda s, d: _matched(s, d).withColumn("score", F.floor(F.col("score") * 1_000_000)), f"WITH {_MATCHED} SELECT name, tier, id, CAST(floor(score * 1000000) AS BIGINT) AS score FROM matched")
 def _final(s, d) -> DataFrame:
-    keys = key_index(view(s, d, "listed"))
-    return final_index(keys, match_portions(view(s, d, "wanted"), keys, view(s, d, "listed")))
+    keys = key_index(view(s, d, "listed_foods"))
+    return final_index(keys, match_portions(view(s, d, "wanted_names"), keys, view(s, d, "listed_foods")))
 
 
 add("AGG-62_final_index", _final, f"""WITH {_MATCHED}, own AS (SELECT trim(lower(name)) AS key, min(id) AS id FROM matched WHERE id IS NOT NULL AND tier <> 'judge' GROUP BY 1),

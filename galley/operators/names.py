@@ -94,6 +94,19 @@ def enriched(recipes: DataFrame, profiles: DataFrame) -> DataFrame:
     return recipes.join(profiles.select("rid", "kcal", "confidence"), "rid", "left")
 
 
+def _raced(s, d) -> DataFrame:
+    """One writer commits while another still works on the version before; the other begins again."""
+    folder, first = _store(s, d), [True]
+
+    def change(old):
+        if first.pop() if first else False:
+            store.delete(s, folder, view(s, d, "recipes").where("rid % 10 = 4").select("slug"), "slug")
+        return old.withColumn("title", F.concat(F.lit("seen "), "title"))
+
+    return store.update(s, folder, change).select("slug", "title")
+
+
+add("SNK-5_atomic_persist", _raced, "SELECT slug, 'seen ' || title AS title FROM recipes WHERE rid % 10 <> 4")
 add("SNK-13_reenrich", lambda s, d: store.rewrite(s, _store(s, d), lambda r: enriched(r, profiles_of(s, d))).select("slug", "kcal", "confidence"), f"{PROFILES_SQL} SELECT r.slug, p.kcal, p.confidence FROM recipes r LEFT JOIN profiles p USING (rid)")
 add("SNK-15_reenrich_filtered", lambda s, d: store.rewrite(s, _store(s, d), lambda r: enriched(r, profiles_of(s, d)), "title like 'Soupe%'").select("slug", "kcal"),
     f"{PROFILES_SQL} SELECT r.slug, CASE WHEN r.title LIKE 'Soupe%' THEN p.kcal END AS kcal FROM recipes r LEFT JOIN profiles p USING (rid)")

@@ -101,11 +101,11 @@ VIEWS = {
         CASE (rid + pos) % 9 WHEN 0 THEN '-1' WHEN 1 THEN '0' WHEN 2 THEN 'some' WHEN 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '2' END AS quantity, optional, CASE WHEN (rid + pos) % 12 = 0 THEN 'odd' ELSE category END AS category FROM ingredients""",
     "doc_steps": """SELECT rid, pos, CASE WHEN pos = 4 AND rid % 4 = 0 THEN '' WHEN pos = 3 AND rid % 4 = 1 THEN 's1' ELSE id END AS id, CASE WHEN pos = 2 AND rid % 6 = 0 THEN ' ' ELSE action END AS action, CASE WHEN (rid + pos) % 10 = 0 THEN 'mix' ELSE 'cook' END AS step_type,
         CASE (rid + pos) % 8 WHEN 0 THEN '400' WHEN 1 THEN '-10' WHEN 2 THEN 'hot' WHEN 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '180' END AS temperature, produces FROM graph_steps""",
-    "wanted": """SELECT DISTINCT CASE pos % 8 WHEN 0 THEN name WHEN 1 THEN concat('Fresh ', name, ', chopped') WHEN 2 THEN concat(name, ' sauce') WHEN 3 THEN concat(name, '/lard') WHEN 4 THEN concat(name, 's')
+    "wanted_names": """SELECT DISTINCT CASE pos % 8 WHEN 0 THEN name WHEN 1 THEN concat('Fresh ', name, ', chopped') WHEN 2 THEN concat(name, ' sauce') WHEN 3 THEN concat(name, '/lard') WHEN 4 THEN concat(name, 's')
         WHEN 5 THEN concat('wild ', name, ' or butter') WHEN 6 THEN concat(name, 'ee') ELSE concat('some ', upper(name), ' stock') END AS name FROM ingredients WHERE name <> ''""",
-    "indexed": """SELECT name, min(id) AS id, min_by(kcal, id) AS kcal FROM (
+    "food_index": """SELECT name, min(id) AS id, min_by(kcal, id) AS kcal FROM (
         SELECT id, kcal, CASE id % 5 WHEN 0 THEN name WHEN 1 THEN concat(name, ', raw') WHEN 2 THEN concat(name, ' pie') WHEN 3 THEN concat('Whole ', name) ELSE concat(name, 'e') END AS name FROM foods) f GROUP BY name""",
-    "listed": f"""SELECT name, min(id) AS id, min_by(unit, id) AS unit, min_by(grams, id) AS grams FROM (
+    "listed_foods": f"""SELECT name, min(id) AS id, min_by(unit, id) AS unit, min_by(grams, id) AS grams FROM (
         SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS grams, CASE p_partkey % 3 WHEN 0 THEN 'cup' WHEN 1 THEN 'slice' ELSE 'piece' END AS unit,
           CASE p_partkey % 7 WHEN 0 THEN concat(n, 's, raw') WHEN 1 THEN CASE WHEN position(' ' IN n) > 0 THEN concat(split_part(n, ' ', 2), ', ', split_part(n, ' ', 1), ', salad or cooking') ELSE concat(n, ', table') END
             WHEN 2 THEN concat(n, ' (', c, '), whole, cooked') WHEN 3 THEN concat('Nuts, ', n, ' nuts, raw') WHEN 4 THEN concat(upper(n), ', mature seeds, without salt') WHEN 5 THEN concat(n, ', sweet, fresh berries, NFS') ELSE n END AS name

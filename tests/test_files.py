@@ -74,6 +74,42 @@ def test_store(spark, tmp_path):
     assert store.delete_all(spark, folder).count() == 0
 
 
+def test_two_writers_lose_no_row(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    folder, both = f"{tmp_path}/table", Barrier(2)
+    store.save(spark.createDataFrame([(0, 0)], "k int, v int"), folder)
+
+    def write(me):
+        waits = [True]  # both read the same version the first time
+
+        def change(old):
+            if waits:
+                waits.pop()
+                both.wait(60)
+            return old.unionByName(spark.createDataFrame([(100 * me + len(store.versions(spark, folder)), me)], "k int, v int"))
+
+        for _ in range(3):
+            store.update(spark, folder, change)
+            waits[:] = [True]
+        return me
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(write, (1, 2))) == [1, 2]
+    got = [r.v for r in store.current(spark, folder).collect()]
+    assert sorted(got) == [0, 1, 1, 1, 2, 2, 2] and len(store.versions(spark, folder)) == 7
+    # what lost a race is gone, and no draft of a version is left
+    left = [p.name for p in (tmp_path / "table").iterdir()]
+    assert sum(n.startswith("rows-") for n in left) == 7 and all(p.name.lstrip(".").startswith("v") for p in (tmp_path / "table/_versions").iterdir() if not p.name.endswith(".crc"))
+
+
+def test_a_taken_number_is_not_committed(spark, tmp_path):
+    folder = f"{tmp_path}/table"
+    store.save(spark.createDataFrame([(1,)], "k int"), folder)
+    assert not store._commit(spark, folder, 1, "rows-other") and store.current(spark, folder).count() == 1
+
+
 def plain_segments(t, groups):
     letter = "[a-zA-ZÀ-ɏ0-9_]"
     parts = [(t, "plain")]
