@@ -44,7 +44,8 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, branch, pos, node, role, text) of the ``branches`` best root-to-leaf paths of each tree.
 
     ``messages``: tree, node, parent (null at a root), role, text, score. Nodes are unique in their tree.
-    A branch's score is the sum over its messages.
+    A branch's score is the sum over its messages. Messages that answer each other in a circle, and what answers
+    them, have no root and stand in no path.
     """
     node = messages.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = node.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
@@ -53,11 +54,15 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # reached their root are done: only the others are joined again
     state = materialize(node.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "tree")
     steps = [state]
-    while not (on := state.where(F.col("up").isNotNull())).isEmpty():
+    # no root is further than a tree has messages: what has gone that far without one goes round
+    longest, gone = node.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while gone <= longest and not (on := state.where(F.col("up").isNotNull())).isEmpty():
+        gone *= 2
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
         moved = on.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
         state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "tree")
         steps.append(state)
+    state = state.where(F.col("up").isNull())
     parents = steps[0].where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct()
     leaves = state.join(parents, ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")

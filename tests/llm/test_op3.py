@@ -65,3 +65,9 @@ def test_empty_table(spark, tmp_path):
     assert m.read_back(m.format_paths(m.best_paths(spark.createDataFrame([], SCHEMA)))).count() == 0
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in m.op3_chat_formatting(spark, str(tmp_path)).collect()] == [-1]
+
+
+def test_circles_have_no_path(spark):
+    rows = [(1, 0, None, "user", "a", 1.0), (1, 1, 0, "assistant", "b", 1.0), (1, 2, 3, "user", "c", 9.0), (1, 3, 2, "user", "d", 9.0), (1, 4, 3, "user", "e", 9.0), (2, 5, 6, "user", "f", 1.0), (2, 6, 5, "user", "g", 1.0), (3, 7, 7, "user", "h", 1.0)]
+    got = m.best_paths(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    assert sorted((r.tree, r.branch, r.pos, r.node) for r in got) == [(1, 1, 1, 0), (1, 1, 2, 1), (3, 1, 1, 7)]
