@@ -293,6 +293,10 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
+#: Grams of a step of learning.
+STEP = 10_000
+
+
 def _learned(sent, rate: float):
     """What the grams of a part make of the weights and maps: (cell, value * bits seen, bits seen)."""
 
@@ -300,9 +304,16 @@ def _learned(sent, rate: float):
         start: Mixer = sent.value
         mixer, seen = Mixer(start.counts), np.zeros((2, GATES))
         mixer.weights, mixer.map = start.weights.copy(), start.map.copy()
-        for i, batch in enumerate(batches):
+        held = [(batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()) for batch in batches]  # a part has a bounded number of grams
+        if held:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             with np.errstate(over="ignore"):
-                seen += mixer.learn(batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy(), rate / (1 + i / 8))
+                # steps follow the grams alone, in whatever order and batches they come
+                order = np.argsort(mix(key), kind="stable")
+                key, n = key[order], n[order]
+                for i, at in enumerate(range(0, len(key), STEP)):
+                    seen += mixer.learn(key[at : at + STEP], n[at : at + STEP], rate / (1 + i / 8))
         value = np.concatenate([mixer.weights, mixer.map], axis=2)
         n = np.broadcast_to(seen[:, :, None], value.shape)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(value.size, dtype=np.int32)), pa.array((value * n).ravel()), pa.array(n.ravel())], names=["cell", "value", "n"])

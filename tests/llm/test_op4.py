@@ -103,3 +103,20 @@ def test_edges(spark):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
     none = m.score(df, df.select("doc_id", "text").limit(0)).collect()
     assert {r.n_known for r in none} == {0} and {r.train_tokens for r in none} == {0}
+
+
+def test_settings_of_the_cluster_change_no_score(spark, monkeypatch):
+    monkeypatch.setattr(m, "FOLD", 4000)  # several parts
+    rnd = np.random.default_rng(8)
+    vocab = ["".join(rnd.choice(list("abcdefghijklmnop"), rnd.integers(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(vocab, 60)), i % 7 == 2) for i in range(300)], "doc_id long, text string, held_out boolean").repartition(5)
+    got, held = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, rows in ((4, 10_000), (9, 2_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got.append({r.doc_id: r.score for r in m.score(df, df.where("not held_out").select("doc_id", "text")).collect()})
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert set(got[0]) == set(got[1]) and all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
