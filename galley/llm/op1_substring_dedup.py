@@ -353,12 +353,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in words(batch["__text"]):
             for i in range(len(w)):
                 row = w.row + i
-                if not runs[row]:
+                if not runs[row] or texts[row] is None:
                     out.append(texts[row])
                     continue
                 data, at, parts = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes(), 0, []
                 for x in sorted(runs[row], key=lambda x: x["start_word"]):
-                    a, b = w.first[i] + x["start_word"], w.first[i] + x["start_word"] + x["n_words"] - 1
+                    # a row that repeats the id with a shorter text may end before the passage does
+                    a, b = w.first[i] + x["start_word"], min(w.first[i] + x["start_word"] + x["n_words"], w.first[i + 1]) - 1
+                    if a > b:
+                        continue
                     parts.append(data[at : max(at, w.start[a] - w.offsets[i])])
                     at = max(at, int(w.end[b] - w.offsets[i]))
                 out.append(b"".join([*parts, data[at:]]).decode())
@@ -366,7 +369,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_passages(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``docs`` with the passages of repeated_passages() cut out of their texts; other texts are as they were."""
+    """``docs`` with the passages of repeated_passages() cut out of their texts; other texts are as they were.
+
+    Passages are places in the text of a doc_id: rows that repeat an id lose the same words, as far as their text goes.
+    """
     listed = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__runs"))
     named = docs.join(listed, "doc_id", "left")
     rest = [c for c in docs.columns if c != "text"]

@@ -154,3 +154,9 @@ def test_every_removed_passage_stays_where_its_row_says(spark):
             assert " ".join(w) in after[x.kept_doc_id], x
     kept = set(" ".join(after.values()).split())
     assert {w for i, words in rows for w in words} <= kept
+
+
+def test_a_row_that_repeats_an_id_with_a_shorter_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "x y"), (2, None), (1, "")], "doc_id long, text string")
+    runs = spark.createDataFrame([(1, 1, 3), (1, 1, 50), (2, 0, 4)], "doc_id long, start_word long, n_words long")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in remove_passages(docs, runs).collect()))) == sorted(map(str, [(1, "a "), (1, "x "), (2, None), (1, "")]))
