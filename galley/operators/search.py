@@ -188,6 +188,7 @@ def _best_of(k: int, least: float):
         norm = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.floor((a @ b.T) / norm * 1e6 + 0.5) / 1e6
+        score[q["id"].to_numpy()[:, None] == f["id"].to_numpy()[None, :]] = -np.inf  # none is its own neighbour
         row, col = np.nonzero(score >= least)
         out = pd.DataFrame({"q": q["id"].to_numpy()[row], "f": f["id"].to_numpy()[col], "score": score[row, col]})
         return out.sort_values(["q", "score", "f"], ascending=[True, False, True]).groupby("q").head(k)
@@ -198,7 +199,7 @@ def _best_of(k: int, least: float):
 def nearest(queries: DataFrame, foods: DataFrame, k: int = 10, least: float = 0.75) -> DataFrame:
     """Cosine top k, by scoring every query against every food vector, a block of each in one task.
 
-    A task sends on k rows a query at most. Rows without a vector take no part; vectors of other lengths never meet.
+    A task sends on k rows a query at most. A row is no neighbour of its own id. Rows without a vector take no part; vectors of other lengths never meet.
     """
     shape = lambda df: df.where("embedding is not null and size(embedding) > 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
     q, f = shape(queries), shape(foods)
@@ -210,11 +211,11 @@ def nearest(queries: DataFrame, foods: DataFrame, k: int = 10, least: float = 0.
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-add("JOI-3_semantic_nearest", lambda s, d: nearest(view(s, d, "embeddings").where("vec_id % 25 = 0"), view(s, d, "embeddings")),
+add("JOI-3_semantic_nearest", lambda s, d: nearest(view(s, d, "embeddings").where("vec_id % 25 = 0"), view(s, d, "embeddings"), least=0.2),
     f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
       s AS (SELECT q.vec_id AS q, f.vec_id AS f, {sql_rounded("list_sum(list_transform(list_zip(q.v, f.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(f.v, lambda x: x * x))))", 6)} AS score
-        FROM v q, v f WHERE q.vec_id % 25 = 0 AND len(q.v) = len(f.v))
-      SELECT q, f, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, f) AS rank FROM s WHERE score >= 0.75) WHERE rank <= 10""")
+        FROM v q, v f WHERE q.vec_id % 25 = 0 AND q.vec_id <> f.vec_id AND len(q.v) = len(f.v))
+      SELECT q, f, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, f) AS rank FROM s WHERE score >= 0.2) WHERE rank <= 10""")
 
 
 def _season_rows() -> list[tuple[str, str, str]]:
