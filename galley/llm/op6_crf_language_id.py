@@ -7,14 +7,14 @@ languages, so a text may switch. A text's language is the one with the largest e
 and the score is that language's share of them.
 
 The field is fitted by gradient ascent (Adagrad) on SAMPLE texts per language at most, the smallest by hash,
-none longer than SAMPLE_BYTES: a bounded sample that the driver holds. They are cut into stretches that
+none longer than SAMPLE_BYTES: a bounded sample that the driver holds. Every language is learned; where there are
+many, each has fewer texts, so that all have SAMPLED together (one at least). Weights take 1.5 MB a language. The sample's texts are cut into stretches that
 are strung together again across languages, so that transitions learn to switch. Prediction runs over
 every whole text: the recurrences of all texts of a slice run side by side, as products of small matrices
 over equal stretches, then a scan over the stretches.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; where nothing can be learned
-(no labelled texts) all are ``und``; ties go to the language that sorts first; beyond MAX_LANGUAGES the most
-frequent are learned. Equal rows give equal rows.
+(no labelled texts) all are ``und``; ties go to the language that sorts first. Equal rows give equal rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from galley.llm.words import Words, lean, mix, slices, words_of
 from galley.tables import importable, table
 
-SAMPLE, SAMPLE_BYTES, MAX_LANGUAGES = 400, 8_000, 64
+SAMPLE, SAMPLE_BYTES, SAMPLED = 400, 8_000, 25_600
+#: Bytes of text that are scored at once, with up to eight languages; posteriors take a number per word and language.
+SLICE = 1 << 20
 BITS = 16
 EPOCHS, BATCH_WORDS, RATE = 3, 12_000, 0.3
 _MASK = np.uint64((1 << BITS) - 1)
@@ -256,7 +258,7 @@ def _predicted(model, keep_text: bool = False):
         m: Model = model.value
         for batch in batches:
             names, scores = [], []
-            for data, offsets, row in slices(batch["__text"], 1 << 20):
+            for data, offsets, row in slices(batch["__text"], SLICE * 8 // max(8, len(m.languages))):
                 with np.errstate(over="ignore"):
                     w = words_of(data, offsets, row)
                 count = np.append(0, np.cumsum(LETTERS[data]))
@@ -287,12 +289,14 @@ def _predicted(model, keep_text: bool = False):
     return run
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """At most ``sample`` labelled texts of each of the MAX_LANGUAGES most frequent languages: the smallest by hash."""
+def training_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES, sampled: int = SAMPLED) -> list[tuple[str, str]]:
+    """At most ``sample`` labelled texts of each language, ``sampled`` in all (one of each at least): the smallest by hash."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest) & (F.length(F.trim("text")) > 0))
-    top = [r.lang for r in able.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = able.select("lang").distinct().count()
+    each = max(1, min(sample, sampled // max(1, languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    rows = able.where(F.col("lang").isin(top)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    # the first rows of a window are found before the shuffle as well, so a frequent language sends few
+    rows = able.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
     return [(r.lang, r.text) for r in rows.select("lang", "text").collect()]
 
 

@@ -50,3 +50,13 @@ def test_switched_text_is_split():
     w = m._word_arrays(["the dog and the house " * 3 + "les chiens et la maison " * 2])
     best = model.posteriors(w).argmax(axis=1)
     assert best[:15].mean() < 0.1 and best[15:].mean() > 0.9
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"w{i % 90}a w{i % 90}b w{i % 90}c " * 5, f"l{i % 90:02}") for i in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = m.training_rows(docs, sampled=200)
+    assert len(taken) == 180 and len({x for x, _ in taken}) == 90
+    assert len(m.training_rows(docs)) == 360 and len(m.training_rows(docs, sampled=5)) == 90
+    got = m.predict(docs.where("doc_id < 90"), m.fit(m.training_rows(docs))).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 90:02}" for r in got) > 85
