@@ -130,6 +130,9 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' OR value < 20 THEN 'completed' ELSE 'in_progress' END AS status, CAST(event_id % 101 AS INTEGER) AS progress,
         CASE WHEN event_id % 4 = 1 THEN '' ELSE concat('note ', CAST(event_id % 11 AS VARCHAR(9))) END AS message, concat('queue ', CAST(event_id % 2 AS VARCHAR(9))) AS queue,
         concat('recipe-', CAST(event_id AS VARCHAR(20))) AS slug FROM events""",
+    "told_recipes": "SELECT rid, slug, CASE rid % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'fr' END AS language FROM recipes",
+    "told_ingredients": """SELECT rid, pos, CASE (rid + pos) % 7 WHEN 0 THEN concat('Crème de ', name) WHEN 1 THEN concat('Huile d', chr(39), 'olive') WHEN 2 THEN concat(name, ' frais') WHEN 3 THEN concat('pur jus d', chr(39), name) WHEN 4 THEN '' ELSE name END AS name,
+        CASE pos % 4 WHEN 0 THEN CAST(NULL AS VARCHAR(9)) WHEN 1 THEN concat('Fresh ', name, ' chopped') ELSE name END AS name_en FROM ingredients""",
     "progress": """SELECT event_id, user_id AS id, ts, value, event_type,
         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' ELSE 'in_progress' END AS status,
         CAST(event_id % 4 AS INTEGER) AS step FROM events""",

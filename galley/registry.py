@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERIES (name to callable) and SQL (name to text).
 MODULES: tuple[str, ...] = (
     "galley.operators.nutrition", "galley.operators.scalars", "galley.operators.search", "galley.operators.audit", "galley.operators.quantities",
-    "galley.operators.more", "galley.operators.shown", "galley.operators.names", "galley.operators.kitchen", "galley.operators.graph", "galley.operators.parsing", "galley.operators.matching", "galley.operators.recipe_audit", "galley.streaming.progress", "galley.streaming.imports",
+    "galley.operators.more", "galley.operators.shown", "galley.operators.names", "galley.operators.kitchen", "galley.operators.graph", "galley.operators.parsing", "galley.operators.matching", "galley.operators.recipe_audit", "galley.operators.crosscheck", "galley.streaming.progress", "galley.streaming.imports",
 )
 
 
