@@ -124,3 +124,14 @@ def portion_singular(c: Column) -> Column:
         F.when(c.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(c.endswith("oes") & (n > 4), cut(2)).when(c.endswith("ves") & (n > 5), cut(1))
         .when(sibilant, cut(2)).when(c.endswith("s") & ~c.endswith("ss") & (n > 3), cut(1)).otherwise(c)
     )
+
+
+def listed_name(c: Column) -> tuple[Column, Column]:
+    """(name, other names) of a long listed name: what stands in quotes or in round brackets (3 to 30 letters) is another name, what stands in square ones is left out."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"[\[［][^\]］]*[\]］]", ""), "\n", " ")
+    name = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), r"\([^)]*\)", "")
+    for pattern, to in ((r"\s*,\s*,", ","), (r",\s*$", ""), (r"^\s*,\s*", ""), (r"\s+", " ")):
+        name = F.regexp_replace(name, pattern, to)
+    found = F.concat(*[F.regexp_extract_all(plain, F.lit(p), F.lit(1)) for p in ('"([^"]+)"', r"\(([^)]{3,30})\)")])
+    others = F.filter(F.transform(found, lambda x: F.lower(F.trim(x))), lambda x: F.length(x) > 2)
+    return F.regexp_replace(F.lower(F.trim(name)), r"\*", ""), others

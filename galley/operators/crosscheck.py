@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions import text
 from galley.operators.kitchen import _quoted
 from galley.operators.nutrition import PROFILES_SQL, details_of, profiles
 from galley.plans.adapters import view, with_views
@@ -111,15 +112,15 @@ def cross_check(stored: DataFrame, lines: DataFrame, reference: DataFrame) -> Da
     tenths = {f"ref_{n}": F.floor(F.coalesce(f"sum_{n}", F.lit(0)) / 100.0 / F.coalesce(F.nullif("servings", F.lit(0)), F.lit(1)) + 0.5) for n in LEAST}
     out = out.withColumns(tenths | {f"own_{n}": F.floor(F.coalesce(n, F.lit(0.0)) * 10 + 0.5) for n in LEAST})
     shown = lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
-    issue = lambda when, severity, *text: F.when(when, F.struct(F.lit(severity).alias("severity"), F.concat(*text).alias("detail")))
+    issue = lambda when, severity, *parts: F.when(when, F.struct(F.lit(severity).alias("severity"), F.concat(*parts).alias("detail")))
     found = []
     for n, least in LEAST.items():
         own, ref = F.col(f"own_{n}"), F.col(f"ref_{n}")
         diff = F.abs(own - ref)
         off = F.when(ref == 0, F.when(own == 0, 0).otherwise(1000)).otherwise(F.floor(diff * 1000.0 / F.nullif(ref, F.lit(0)) + 0.5))
-        text = [F.lit(f"{SHOWN_AS.get(n, n)}: "), shown(own), F.lit(" vs ref "), shown(ref), F.lit(" ("), shown(off), F.lit("% deviation, diff="), shown(diff), F.lit(")")]
+        told = [F.lit(f"{SHOWN_AS.get(n, n)}: "), shown(own), F.lit(" vs ref "), shown(ref), F.lit(" ("), shown(off), F.lit("% deviation, diff="), shown(diff), F.lit(")")]
         far = diff > least * 10
-        found.append(F.coalesce(issue(far & (off > 500), "error", *text), issue(far & (off > 300), "warning", *text)))
+        found.append(F.coalesce(issue(far & (off > 500), "error", *told), issue(far & (off > 300), "warning", *told)))
     found.append(issue(F.col("own_kcal") > 20000, "warning", F.lit("Very high calories per serving: "), shown(F.col("own_kcal")), F.lit(" kcal")))
     few = (F.col("confidence") == "high") & (F.col("total") > 0) & (F.col("resolved") * 2 < F.col("total"))
     found.append(issue(few, "warning", F.lit("Confidence is 'high' but only "), F.col("resolved").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ingredients resolved")))
@@ -190,4 +191,20 @@ _CHECKED = f"""
 catalog.add("AGG-28_cross_check", lambda s, d: _checked(s, d).withColumn("issues", F.array_join("issues", "; ")), with_views(f"{PROFILES_SQL}, {_CHECKED} SELECT * REPLACE (coalesce(array_to_string(issues, '; '), '') AS issues) FROM checked"))
 catalog.add("AGG-31_verdicts", lambda s, d: verdicts(_checked(s, d)), with_views(f"{PROFILES_SQL}, {_CHECKED} SELECT verdict, count(*) AS n, CAST(sum(len(issues)) AS BIGINT) AS n_issues FROM checked GROUP BY verdict"))
 
+
+# --- listed names ---
+_LISTED = r"""SELECT id, CASE id % 6 WHEN 0 THEN concat(name, ', , "Kome ', CAST(id % 9 AS VARCHAR(9)), '", (raw), [', source, ']') WHEN 1 THEN concat(', ', name, '*, (', source, ' food), ') WHEN 2 THEN concat('［x］', upper(name), ' (ab) "no"')
+  WHEN 3 THEN concat(name, ', (a remark of more than thirty letters in all)') WHEN 4 THEN concat('"', name, '"') ELSE name END AS raw FROM foods"""
+
+
+def _listed(s, d) -> DataFrame:
+    name, others = text.listed_name(F.col("raw"))
+    raw = s.sql("SELECT * FROM (" + _LISTED.replace("FROM foods", "FROM {foods}") + ")", foods=view(s, d, "foods"))
+    return raw.select("id", name.alias("name"), F.array_join(others, " | ").alias("others"))
+
+
+catalog.add("STR-19_listed_names", _listed, with_views(rf"""WITH l AS ({_LISTED}), p AS (SELECT id, replace(regexp_replace(raw, '[\[［][^\]］]*[\]］]', '', 'g'), chr(10), ' ') AS t FROM l),
+  c AS (SELECT id, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '"[^"]*"', '', 'g'), '\([^)]*\)', '', 'g'), '\s*,\s*,', ',', 'g'), ',\s*$', ''), '^\s*,\s*', ''), '\s+', ' ', 'g') AS n FROM p)
+  SELECT id, replace(lower(trim(n)), '*', '') AS name, array_to_string(list_filter(list_transform(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(t, '\(([^)]{{3,30}})\)', 1)), lambda x: lower(trim(x))), lambda x: length(x) > 2), ' | ') AS others FROM c"""))
+
 QUERIES, SQL = catalog.queries, catalog.sql

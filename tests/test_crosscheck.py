@@ -2,6 +2,7 @@
 
 import pytest
 
+from galley.functions import text
 from galley.operators import crosscheck as m
 
 NAMES = "array<struct<name:string,name_en:string>>"
@@ -68,3 +69,12 @@ def test_verdicts(spark):
     assert (got[5].matched, got[5].issues) == (3, ["Only 1/8 ingredients resolved in reference (12%). Need >= 90% for reliable comparison."])
     assert got[7].issues == ["calories: 2100.0 vs ref 0.0 (100.0% deviation, diff=2100.0)", "Very high calories per serving: 2100.0 kcal"]
     assert {r.verdict: (r.n, r.n_issues) for r in m.verdicts(out).collect()} == {"pass": (2, 0), "fail": (2, 3), "warning": (2, 2), "inconclusive": (1, 1), "error": (1, 0)}
+
+
+@pytest.mark.parametrize(("raw", "name", "others"), [
+    ('Rice, "Kome", (polished rice), [paddy]', "rice,", ["kome", "polished rice"]), ("Leek", "leek", []), (', Tofu*, (ab), "Momen"', "tofu", ["momen"]), ("［a］Salt\n fine", "salt fine", []), ("", "", []), (None, None, None),
+])
+def test_listed_names(spark, raw, name, others):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    a, b = text.listed_name(df.raw)
+    assert tuple(df.select(a, b).first()) == (name, others)
