@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from galley.operators import graph
+from galley.operators import audit, graph
 
 STEPS = "rid int, pos int, id string, sub string, action string, duration string, passive boolean, done boolean, produces string"
 
@@ -174,3 +174,13 @@ def test_unified_graph(spark):
     }
     edges = {(r.source, r.target, r.type) for r in graph.unified_edges(*f[:3]).collect()}
     assert edges == {("ing-flour", "step-s1", "ingredient"), ("state-ghost", "step-s1", "state"), ("step-s1", "state-wet_mix", "state"), ("state-wet_mix", "step-s2", "state"), ("step-s2", "state-cake", "state")}
+
+
+def test_ancestors_of_any_number_of_recipes(spark):
+    rows = [(rid, p) for rid in range(40) for p in range(1, 9) if p != 3] + [(90, 5), (91, 2), (91, 2)]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)  # a recursive query has such a limit for all recipes together
+    try:
+        got = {r.rid: r.n for r in audit.ancestors(spark.createDataFrame(rows, "rid int, pos int")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {rid: 7 for rid in range(40)} | {90: 1, 91: 1}
