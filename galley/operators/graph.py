@@ -17,6 +17,7 @@ from galley.functions import time
 from galley.functions.units import rounded, sql_rounded
 from galley.plans.adapters import view, with_views
 from galley.plans.catalog import Catalog
+from galley.tables import computed
 
 catalog = Catalog()
 # Words of steps that only ready the equipment, minutes of a step without a duration.
@@ -40,13 +41,16 @@ def networks(steps: DataFrame, refs: DataFrame, ingredients: DataFrame, within:
     A step precedes another that refers to the state it produces; where several produce a state the last
     counts, or the ``first``. Refs to ingredients, to itself and to states that nothing produces are none.
     """
-    asked = refs.join(ingredients.select("rid", F.col("id").alias("ref")).distinct(), ["rid", "ref"], "left_anti")
-    asked = asked.groupBy("rid", "pos").agg(F.collect_set("ref").alias("refs"))
-    step = F.struct("pos", "id", step_minutes(F.col("duration"), F.col("action")).alias("m"), F.coalesce("passive", F.lit(False)).alias("passive"), F.coalesce("done", F.lit(False)).alias("done"),
-        F.nullif("produces", F.lit("")).alias("produces"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
-    rows = steps.join(asked, ["rid", "pos"], "left").groupBy(*within).agg(F.sort_array(F.collect_list(step)).alias("rows"))
+    none = F.array().cast("array<string>")
+    known = ingredients.groupBy("rid").agg(F.collect_set("id").alias("known"))
+    asked = refs.where("ref is not null").groupBy("rid").agg(F.collect_set(F.struct("pos", "ref")).alias("asked"))
+    step = F.struct("pos", "id", step_minutes(F.col("duration"), F.col("action")).alias("m"), F.coalesce("passive", F.lit(False)).alias("passive"), F.coalesce("done", F.lit(False)).alias("done"), F.nullif("produces", F.lit("")).alias("produces"))
+    rows = steps.groupBy(*within).agg(F.sort_array(F.collect_list(step)).alias("rows")).join(asked, "rid", "left").join(known, "rid", "left")
+    rows = computed(rows, asked=F.filter("asked", lambda x: ~F.array_contains(F.coalesce("known", none), x["ref"])))
+    refs_of = lambda x: F.coalesce(F.transform(F.filter("asked", lambda r: r["pos"] == x["pos"]), lambda r: r["ref"]), none)
+    rows = computed(rows, rows=F.transform("rows", lambda x: x.withField("refs", refs_of(x))))
     made = F.transform("rows", lambda x: x["produces"])
-    rows = rows.select(*within, "rows", (made if first else F.reverse(made)).alias("made"))
+    rows = computed(rows.select(*within, "rows", (made if first else F.reverse(made)).alias("made")), rows=F.col("rows"), made=F.col("made"))
     at = lambda ref: F.array_position("made", ref).cast("int")
     place = (lambda ref: at(ref) - 1) if first else (lambda ref: F.size("rows") - at(ref))
     own = lambda x, i: F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(x["refs"], lambda r: at(r) > 0), place), lambda p: p != i)))
@@ -57,7 +61,7 @@ def peeled(networks: DataFrame) -> DataFrame:
     """``networks`` with ``free``: whether each step can be reached by always taking one whose predecessors were taken; a cycle keeps itself and what follows it."""
     none = F.transform("nodes", lambda x: F.lit(False))
     again = lambda free: F.transform("nodes", lambda x, i: F.get(free, i) | F.forall(x["before"], lambda p: F.get(free, p)))
-    return networks.withColumn("free", F.aggregate("nodes", none, lambda free, _: again(free)))
+    return computed(networks, free=F.aggregate("nodes", none, lambda free, _: again(free)))
 
 
 def acyclicity(networks: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def critical_times(networks: DataFrame, recipes: DataFrame) -> DataFrame:
     equals the first. It goes back over the predecessor that finishes last, of equals the first. In a recipe with a
     cycle only predecessors that stand earlier count. A recipe without steps takes no time.
     """
-    rows = peeled(networks).withColumn("free", F.forall("free", lambda f: f))
+    rows = computed(peeled(networks), free=F.forall("free", lambda f: f))
     before = lambda x, i: F.when(F.col("free"), x["before"]).otherwise(F.filter(x["before"], lambda p: p < i))
     rows = rows.withColumn("nodes", F.transform("nodes", lambda x, i: F.struct(x["m"].alias("m"), x["passive"].alias("passive"), before(x, i).alias("before"))))
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("a"), F.lit(0.0).alias("p"))
@@ -98,19 +102,22 @@ def back_completion(networks: DataFrame) -> DataFrame:
     """(rid, sub, pos, done) after the last step of each sub-recipe is ticked off: it and all that it rests on are done too."""
     last = F.array(F.size("nodes") - 1)
     rests = lambda seen: F.array_distinct(F.concat(seen, F.flatten(F.transform(seen, lambda p: F.get("nodes", p)["before"]))))
-    rows = networks.withColumn("seen", F.aggregate("nodes", last, lambda seen, _: rests(seen)))
+    rows = computed(networks, seen=F.aggregate("nodes", last, lambda seen, _: rests(seen)))
     done = F.transform("nodes", lambda x, i: F.struct(x["pos"].alias("pos"), (x["done"] | F.array_contains("seen", i)).alias("done")))
     return rows.select("rid", "sub", F.inline(done))
 
 
 def consumers(steps: DataFrame, refs: DataFrame, ingredients: DataFrame) -> DataFrame:
     """(rid, sub, kind, item, done) of each use of an ingredient, a state that the sub-recipe produces, or a tool."""
-    uses = refs.join(steps.select("rid", "pos", "sub", F.coalesce("done", F.lit(False)).alias("done")), ["rid", "pos"])
-    uses = uses.join(ingredients.select("rid", F.col("id").alias("ref")).distinct().withColumn("known", F.lit(True)), ["rid", "ref"], "left")
-    made = steps.where(F.coalesce("produces", F.lit("")) != "").select("rid", "sub", F.col("produces").alias("ref")).distinct().withColumn("made", F.lit(True))
-    uses = uses.join(made, ["rid", "sub", "ref"], "left")
-    kind = F.when((F.col("kind") == "uses") & F.col("known"), "ingredient").when(F.col("made"), "state").when(F.col("kind") == "requires", "tool")
-    return uses.select("rid", "sub", kind.alias("kind"), F.col("ref").alias("item"), "done").where("kind is not null")
+    made = steps.groupBy("rid").agg(F.collect_list(F.struct("pos", "sub", F.coalesce("done", F.lit(False)).alias("done"), F.nullif("produces", F.lit("")).alias("produces"))).alias("steps"))
+    asked = refs.groupBy("rid").agg(F.collect_list(F.struct("pos", "kind", "ref")).alias("asked"))
+    known = ingredients.groupBy("rid").agg(F.collect_set("id").alias("known"))
+    rows = asked.join(made, "rid").join(known, "rid", "left")
+    of = lambda r: F.transform(F.filter("steps", lambda x: x["pos"] == r["pos"]), lambda x: F.struct(x["sub"].alias("sub"), r["kind"].alias("kind"), r["ref"].alias("item"), x["done"].alias("done")))
+    uses = rows.select("rid", "steps", "known", F.explode(F.flatten(F.transform("asked", of))).alias("u"))
+    own = F.exists("steps", lambda x: (x["sub"] == F.col("u.sub")) & (x["produces"] == F.col("u.item")))
+    kind = F.when((F.col("u.kind") == "uses") & F.array_contains("known", F.col("u.item")), "ingredient").when(own, "state").when(F.col("u.kind") == "requires", "tool")
+    return computed(uses.select("rid", "u.sub", kind.alias("kind"), "u.item", "u.done"), kind=F.col("kind")).select("rid", "sub", "kind", "item", "done").where("kind is not null")
 
 
 def unused_items(uses: DataFrame) -> DataFrame:
@@ -125,8 +132,9 @@ def unused_items(uses: DataFrame) -> DataFrame:
 
 def unused_flags(uses: DataFrame) -> DataFrame:
     """(rid, kind, sub, item, unused) of each ingredient of a sub-recipe and each tool of a recipe."""
-    items = uses.where("kind <> 'state'").select("rid", "kind", F.when(F.col("kind") == "ingredient", F.col("sub")).otherwise("").alias("sub"), "item").distinct()
-    return items.join(unused_items(uses).withColumn("unused", F.lit(True)), ["rid", "kind", "sub", "item"], "left").withColumn("unused", F.coalesce("unused", F.lit(False)))
+    free = uses.where("kind <> 'state'").groupBy("rid", "sub", "kind", "item").agg(F.bool_and("done").alias("free"))
+    told = F.col("free") & F.col("item").isNotNull() & F.col("sub").isNotNull()
+    return free.groupBy("rid", "kind", F.when(F.col("kind") == "ingredient", F.col("sub")).otherwise("").alias("sub"), "item").agg(F.bool_or(told).alias("unused"))
 
 
 def unified_edges(steps: DataFrame, refs: DataFrame, ingredients: DataFrame) -> DataFrame:
