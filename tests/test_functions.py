@@ -136,3 +136,16 @@ def test_name_forms(spark, name, forms):
     from galley.operators.kitchen import name_forms
 
     assert one(spark, name_forms(F.col("n")), n=name) == forms
+
+
+def test_names_are_looked_up_inside_recipes(spark):
+    from galley.operators.kitchen import named_ingredients
+
+    names = [(1, 4, "olive oil"), (1, 2, " Oil"), (1, 3, "oil"), (1, 5, "red  wine"), (1, 6, ""), (1, 7, None), (1, 8, "\t"), (2, 1, "oil")]
+    refs = [(1, x) for x in ("OIL", "oil", "olive_oil_spray", "wine", "red__wine", "red_wine", " ", "_", None)] + [(2, "oil"), (2, "oil"), (3, "oil")]
+    out = named_ingredients(spark.createDataFrame(refs, "rid long, ref string"), spark.createDataFrame(names, "rid long, pos int, name string"))
+    want = {(1, "OIL"): 2, (1, "oil"): 2, (1, "olive_oil_spray"): 2, (1, "wine"): 5, (1, "red__wine"): None, (1, "red_wine"): 5, (1, " "): None, (1, "_"): None, (1, None): None, (2, "oil"): 1, (3, "oil"): None}
+    rows = out.collect()
+    assert len(rows) == len(want) and {(r.rid, r.ref): r.pos for r in rows} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Exchange hashpartitioning") <= 2  # a recipe's names and references, once each: parts of names are no rows
