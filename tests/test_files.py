@@ -136,6 +136,22 @@ def test_segments(spark):
     assert [(r.text, r.entry) for r in glossary_terms(g, "fr").collect()] == [("émincer", 2), ("couper", 2), ("brown", 1), ("sear", 1)]
 
 
+def test_terms_are_marked_in_one_pass(spark):
+    words = ["sauté", "sauté pan", "min", "flambé"]
+    one = str(segments(F.col("t"), ("glossary", words))._jc.toString())
+    assert one.count("regexp_replace") == 2  # one for all terms, one to deal the text
+    # terms that can overlap, or stand side by side, are marked the longest first
+    groups = [("glossary", ["red wine", "wine sauce", "abcd", "-x"])]
+    texts = ["a red wine sauce", "abcd-x", "abcd -x", "red wine", "wine sauce, Red Wine"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", segments(F.col("t"), *groups).alias("s")).collect()
+    assert {r.i: [(x.text, x.kind) for x in r.s] for r in got} == {
+        0: [("a red ", "plain"), ("wine sauce", "glossary")], 1: [("abcd", "glossary"), ("-x", "glossary")], 2: [("abcd", "glossary"), (" ", "plain"), ("-x", "glossary")],
+        3: [("red wine", "glossary")], 4: [("wine sauce", "glossary"), (", ", "plain"), ("Red Wine", "glossary")],
+    }
+    long = spark.createDataFrame([("the sauté pan " * 20000,)], "t string").select(F.size(segments(F.col("t"), ("glossary", words))).alias("n")).first()
+    assert long.n == 40001
+
+
 def test_words_and_quantities(spark):
     df = spark.createDataFrame([("berries",), ("potatoes",), ("dishes",), ("olives",), ("glass",), ("pies",), ("boxes",), ("es",)], "w string")
     got = {r.w: (r.a, r.b, r.c) for r in df.select("w", text.stem(F.col("w")).alias("a"), text.portion_singular(F.col("w")).alias("b"), text.lookup_stem(F.col("w")).alias("c")).collect()}
