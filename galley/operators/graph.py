@@ -149,19 +149,34 @@ def unified_edges(steps: DataFrame, refs: DataFrame, ingredients: DataFrame) ->
 def unified_nodes(steps: DataFrame, refs: DataFrame, ingredients: DataFrame) -> DataFrame:
     """(rid, node, type, label, grp, final): steps, listed ingredients and every state met; final nodes are targets only.
 
-    A state stands with the sub-recipe that produces it, of several with the one that begins last.
+    A state stands with the sub-recipe that produces it, of several with the one that begins last. Each frame is
+    gathered by recipe once; a recipe's edges are two arrays, what they come from and what they go to.
     """
-    edges = unified_edges(steps, refs, ingredients)
-    begins = steps.groupBy("rid", "sub").agg(F.min("pos").alias("begins"))
-    made = steps.where(F.coalesce("produces", F.lit("")) != "").join(begins, ["rid", "sub"]).groupBy("rid", F.concat(F.lit("state-"), "produces").alias("node")).agg(F.max_by("sub", "begins").alias("grp"))
-    ends = edges.select("rid", F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(False).alias("target")), F.struct(F.col("target").alias("node"), F.lit(True).alias("target")))).alias("e"))
-    ends = ends.groupBy("rid", "e.node").agg(F.bool_and("e.target").alias("final"))
-    states = ends.where(F.col("node").startswith("state-")).join(made, ["rid", "node"], "left")
-    states = states.select("rid", "node", F.lit("state").alias("type"), F.replace(F.substring("node", 7, 1000), F.lit("_"), F.lit(" ")).alias("label"), "grp", "final")
-    own = steps.select("rid", F.concat(F.lit("step-"), "id").alias("node"), F.lit("action").alias("type"), F.col("action").alias("label"), F.col("sub").alias("grp"))
-    listed = ingredients.select("rid", F.concat(F.lit("ing-"), "id").alias("node"), F.lit("ingredient").alias("type"), F.col("name").alias("label"), F.lit("__ingredients__").alias("grp"))
-    others = own.unionByName(listed).join(ends, ["rid", "node"], "left").withColumn("final", F.coalesce("final", F.lit(False)))
-    return states.unionByName(others)
+    none, strings = lambda c, like: F.coalesce(c, F.array().cast(like)), "array<string>"
+    made = steps.groupBy("rid").agg(F.collect_list(F.struct("pos", F.concat(F.lit("step-"), "id").alias("node"), "action", "sub", F.concat(F.lit("state-"), F.nullif("produces", F.lit(""))).alias("state"))).alias("steps"))
+    listed = ingredients.groupBy("rid").agg(F.collect_list(F.struct(F.concat(F.lit("ing-"), "id").alias("node"), "id", "name")).alias("listed"))
+    used = refs.where("kind = 'uses'").groupBy("rid").agg(F.collect_set(F.struct("pos", "ref")).alias("used"))
+    rows = made.join(used, "rid", "left").join(listed, "rid", "full")
+    lists = {n: none(F.col(n), dict(rows.dtypes)[n]) for n in ("steps", "listed", "used")}
+    rows = computed(rows, **lists, known=none(F.transform("listed", lambda x: x["id"]), strings))
+    taken = F.filter("used", lambda u: F.exists("steps", lambda x: x["pos"] == u["pos"]))
+    sources = F.transform(taken, lambda u: F.concat(F.when(F.coalesce(F.array_contains("known", u["ref"]), F.lit(False)), "ing-").otherwise("state-"), u["ref"]))
+    makers = F.transform(F.filter("steps", lambda x: x["state"].isNotNull()), lambda x: x["node"])
+    takers = F.transform(F.filter("steps", lambda x: F.exists("used", lambda u: x["pos"] == u["pos"])), lambda x: x["node"])
+    begins = lambda x: F.array_min(F.transform(F.filter("steps", lambda y: y["sub"] == x["sub"]), lambda y: y["pos"]))
+    rows = computed(
+        rows, sources=F.array_compact(F.concat(sources, makers)), targets=F.array_compact(F.concat(takers, F.transform("steps", lambda x: x["state"]))),
+        stands=F.transform(F.filter("steps", lambda x: x["state"].isNotNull() & x["sub"].isNotNull()), lambda x: F.struct(begins(x).alias("begins"), x["sub"].alias("sub"), x["state"].alias("state"))),
+    )
+    ends = lambda node: F.coalesce(F.col("rid").isNotNull() & F.array_contains("targets", node) & ~F.array_contains("sources", node), F.lit(False))
+    node = lambda node, kind, label, grp: F.struct(node.alias("node"), F.lit(kind).alias("type"), label.alias("label"), grp.alias("grp"), ends(node).alias("final"))
+    grp = lambda n: F.array_max(F.filter("stands", lambda y: (y["state"] == n) & y["begins"].isNotNull() & F.col("rid").isNotNull()))["sub"]
+    states = F.array_distinct(F.filter(F.concat("sources", "targets"), lambda n: n.startswith("state-")))
+    nodes = F.concat(
+        F.transform(states, lambda n: node(n, "state", F.replace(F.substring(n, 7, 1000), F.lit("_"), F.lit(" ")), grp(n))),
+        F.transform("steps", lambda x: node(x["node"], "action", x["action"], x["sub"])), F.transform("listed", lambda x: node(x["node"], "ingredient", x["name"], F.lit("__ingredients__"))),
+    )
+    return rows.select("rid", F.inline(nodes))
 
 
 def _frames(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -176,6 +176,18 @@ def test_unified_graph(spark):
     assert edges == {("ing-flour", "step-s1", "ingredient"), ("state-ghost", "step-s1", "state"), ("step-s1", "state-wet_mix", "state"), ("state-wet_mix", "step-s2", "state"), ("step-s2", "state-cake", "state")}
 
 
+def test_unified_nodes_gather_each_frame_once(spark):
+    steps = [(1, 1, "s1", "a", "Mix", None, False, False, "x"), (1, 2, "s2", "b", "Bake", None, False, False, "x"), (1, 3, None, None, None, None, False, False, ""), (None, 1, "s1", "a", "Mix", None, False, False, "y"), (3, 1, "s1", "a", "Mix", None, None, None, None)]
+    refs = [(1, 1, "uses", None), (1, 2, "uses", "x"), (1, 9, "uses", "far"), (1, 1, "uses", "egg"), (2, 1, "uses", "alone"), (3, 1, "requires", "pan")]
+    out = graph.unified_nodes(*frames(spark, steps, refs, [(1, "egg", "Egg"), (1, "egg", "Egg"), (1, None, "odd"), (4, "leek", "Leek")], [(1, None)])[:3])
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        (1, "state-x", "state", "x", "b", False), (1, "step-s1", "action", "Mix", "a", False), (1, "step-s2", "action", "Bake", "b", False), (1, None, "action", None, None, False),
+        (1, "ing-egg", "ingredient", "Egg", "__ingredients__", False), (1, "ing-egg", "ingredient", "Egg", "__ingredients__", False), (1, None, "ingredient", "odd", "__ingredients__", False),
+        (None, "state-y", "state", "y", None, False), (None, "step-s1", "action", "Mix", "a", False), (3, "step-s1", "action", "Mix", "a", False), (4, "ing-leek", "ingredient", "Leek", "__ingredients__", False),
+    ], key=repr)
+    assert out._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2].count("Exchange hashpartitioning") <= 3
+
+
 def test_ancestors_of_any_number_of_recipes(spark):
     rows = [(rid, p) for rid in range(40) for p in range(1, 9) if p != 3] + [(90, 5), (91, 2), (91, 2)]
     spark.conf.set("spark.sql.cteRecursionRowLimit", 100)  # a recursive query has such a limit for all recipes together
