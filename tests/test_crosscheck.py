@@ -78,3 +78,15 @@ def test_listed_names(spark, raw, name, others):
     df = spark.createDataFrame([(raw,)], "raw string")
     a, b = text.listed_name(df.raw)
     assert tuple(df.select(a, b).first()) == (name, others)
+
+
+def test_details_are_read_once_and_lines_not_dealt_by_name(spark):
+    from galley.operators import nutrition
+
+    plan = m._checked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    retained = [line for line in plan.splitlines() if "partial" not in line and "count_if" not in line and "Aggregate [rid" in line]
+    assert len(retained) == 1  # one sum over the lines of a recipe
+    foods = spark.createDataFrame([(3, " Oil", 1.0), (2, "oil ", None), (5, "leek", 4.0), (4, "Leek", 5.0)], "id long, name string, kcal double")
+    first = nutrition.first_foods(foods)
+    assert {tuple(r) for r in first.select("key", "id", "kcal").collect()} == {("oil", 2, None), ("leek", 4, 5.0)}
+    assert "Window" not in first._jdf.queryExecution().optimizedPlan().toString()  # no task has all foods of a name
