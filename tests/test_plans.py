@@ -7,7 +7,8 @@ import pytest
 
 from galley import registry
 from galley.operators import graph, matching
-from galley.plans.adapters import view
+from galley.plans import adapters
+from galley.plans.adapters import table, tasks_for, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,15 @@ def test_issues_are_looked_for_once(spark):
 def test_portions_read_what_was_kept(spark):
     physical = plan(registry.queries()["JOI-7_portion_validation"](spark, SF)).split("== Physical Plan ==")[1]
     assert "lineitem.parquet" not in physical and "/part.parquet" not in physical
+
+
+def test_plans_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "FEW_ROWS", 500)
+    tasks = tasks_for(sum(table(spark, SF, n).count() for n in ("lineitem", "orders", "customer")))
+    physical = plan(registry.queries()["AGG-41_shared_ingredients"](spark, SF)).split("== Physical Plan ==")[1]
+    assert tasks > 10 and physical.count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    assert physical.count("Exchange hashpartitioning") == 3
+
+
+def test_tasks_take_few_rows_until_there_are_200(spark):
+    assert [tasks_for(n) for n in (1, 250_001, 45_900_000, 275_400_000, 3_000_000_000)] == [1, 2, 184, 200, 2000]
