@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries within each partition.
 
-A text is cut by the tokenizer's pattern into words. The distinct words of a slice of texts that are not
-tokens themselves become rows (word, position, token, next token); a recursive query joins them with the
-merge table, takes each word's leftmost pair of minimum rank and contracts it, until no word has a pair
-left. An ordered aggregation collects a word's ids, and another one decodes ids to bytes. Encoded words are
-kept for the task's next texts, up to a number of entries, which saves work and changes no result.
+A text is cut by the tokenizer's pattern into words; what of a slice of texts repeats between two spaces is
+cut once. The distinct words of a slice that are not tokens themselves become rows (word, position, token,
+next token); a recursive query joins them with the merge table, takes each word's leftmost pair of minimum
+rank and contracts it, until no word has a pair left. The ids of a word are its rows in order, and an ordered
+join with the vocabulary decodes ids to bytes. Encoded words are kept for the task's next texts; beyond a
+number of entries only those of the texts at hand are, among them the frequent ones. This saves work and
+changes no result.
 
 Spark deals out the texts, one slice of a few MB is in work at a time, and a lost task is repeated from its
 input. The vocabulary is one file of fixed size (0.5 MB), read by the driver and sent to the executors.
@@ -20,6 +22,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galley.llm.words import slices
+from galley.llm.words import slices, text_buffers
 from galley.tables import importable, table
 
 LONG = 256
 WORDS_AT_ONCE = 25_000
 KEPT_WORDS = 250_000
+_SOLID = np.zeros(256, bool)  # bytes that are a character and no white space
+_SOLID[0x21:0x7F] = True
+_PAIR = np.zeros(256, bool)  # first bytes of two that are a character and no white space
+_PAIR[0xC3:0xE0] = True
 
 #: One row for each byte of a word that is not contracted into its right neighbour: a contracted pair takes
 #: the right one's place, so only rows of the same word change. x: rank, left place and right place in one.
@@ -53,7 +60,7 @@ WITH RECURSIVE s(it, w, pos, tok, nxt, npos) AS (
 ), ends AS (SELECT w, max(it) AS it FROM s GROUP BY w)
 SELECT w, tok FROM s JOIN ends USING (w, it) ORDER BY w, pos
 """
-DECODE = "SELECT w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes FROM tokens t JOIN vocabulary v USING (id) GROUP BY w ORDER BY w"
+DECODE = "SELECT v.bytes FROM tokens t JOIN vocabulary v USING (id) ORDER BY t.pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,23 +75,41 @@ def merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
 
 
+def between_spaces(data: np.ndarray) -> np.ndarray:
+    """Where no match of public_tokenizers.PATTERN crosses: spaces after one and before another solid character.
+
+    A match has a space behind its first character only in a run of white space, and such a run begins here;
+    nothing looks back, and what looks ahead stands before the other end of its run.
+    """
+    p = np.flatnonzero(data == 32)
+    p = p[(p > 1) & (p < len(data) - 1)]
+    a, b, c = data[p - 2], data[p - 1], data[p + 1]
+    return p[(_SOLID[b] | _PAIR[a] & (b >= 128)) & (_SOLID[c] | _PAIR[c])]
+
+
+def _array(data: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values data[at[i]:at[i + 1]], without a copy."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+
+
 class Codec:
     """Encodes and decodes words in DuckDB; one per task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, ...] | None = None):
         import duckdb
+        import public_tokenizers
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.encoded: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.spaced = pattern == public_tokenizers.PATTERN
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # a word's ids, and the bytes that they decode to
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '300MB'")
         left, right, rank = merges(ranks) if pairs is None else pairs
         self.table("m", {"pair": (left << 32) + right, "rank": rank.astype(np.int32)})
-        self.table("v", {"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
+        self.table("v", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": pa.array(list(ranks), pa.binary())})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
 
@@ -115,13 +140,11 @@ class Codec:
             i = after[i]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode and decode what of ``words`` is not known yet."""
-        new = [w for w in words if w not in self.encoded]
-        if len(self.encoded) + len(new) > KEPT_WORDS:
-            self.encoded.clear()
-            self.decoded.clear()
-            new = list(words)
+    def learn(self, words: list[str]) -> None:
+        """Encode and decode what of the distinct ``words`` is not known yet."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known = {w: self.known[w] for w in words if w in self.known}
         for at in range(0, len(new), WORDS_AT_ONCE):
             chunk = new[at : at + WORDS_AT_ONCE]
             raw = [w.encode() for w in chunk]
@@ -134,8 +157,7 @@ class Codec:
             if rest:
                 for i, ids in zip(rest, self._contract([raw[i] for i in rest]), strict=True):
                     packed[i] = ids
-            self.encoded.update(zip(chunk, packed, strict=True))
-            self.decoded.update(zip(packed, self._expand(packed), strict=True))
+            self.known.update(zip(chunk, zip(packed, self._expand(packed), strict=True), strict=True))
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
@@ -151,25 +173,48 @@ class Codec:
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def _expand(self, packed: list[bytes]) -> list[bytes]:
-        size = np.array([len(x) // 4 for x in packed])
-        w = np.repeat(np.arange(len(packed)), size)
-        pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        self.table("tokens", {"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": np.frombuffer(b"".join(packed), "<u4").astype(np.int64)})
-        return self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist()
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+        self.table("tokens", {"pos": np.arange(len(ids), dtype=np.int32), "id": ids})
+        data, offsets = text_buffers(self.db.sql(DECODE).to_arrow_table()["bytes"])
+        data, cut = data.tobytes(), offsets[np.cumsum([0, *(len(x) // 4 for x in packed)])].tolist()
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def close(self) -> None:
         """Leave nothing behind in a worker that goes on to other tasks."""
-        self.encoded.clear()
-        self.decoded.clear()
+        self.known.clear()
         self.db.close()
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, the bytes that they decode to) of each text."""
-        cut = [self.pattern.findall(t) for t in texts]
-        self.learn(set().union(*cut))
-        for words in cut:
-            ids = [self.encoded[w] for w in words]
-            yield b"".join(ids), b"".join([self.decoded[x] for x in ids])
+    def words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(the words of ``pieces``, where those of each piece begin and the last ones end)."""
+        data, at = text_buffers(pieces)
+        # pieces that meet where no match crosses are cut in one call
+        apart = at[~np.isin(at, between_spaces(data))] if self.spaced else at
+        together = _array(data, apart, pa.large_string())
+        cut = list(map(self.pattern.findall, together.to_numpy(zero_copy_only=False)))
+        words = pa.array(list(chain.from_iterable(cut)), pa.large_string())
+        return words, np.searchsorted(text_buffers(words)[1], at) if self.spaced else np.cumsum([0, *map(len, cut)])
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, the bytes that they decode to) of each text data[offsets[i]:offsets[i + 1]]."""
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        if self.spaced:
+            edge[between_spaces(data)] = True
+        start = np.flatnonzero(edge)
+        pieces = _array(data, start, pa.large_string()).dictionary_encode()
+        words, of_piece = self.words(pieces.dictionary)
+        words = words.dictionary_encode()
+        own = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(own)
+        found, of_text = [self.known[w] for w in own], np.searchsorted(start, offsets)
+        out = []
+        for j in (0, 1):
+            got, end = text_buffers(pa.array([x[j] for x in found], pa.large_binary()).take(words.indices))
+            got, end = text_buffers(_array(got, end[of_piece], pa.large_binary()).take(pieces.indices))
+            out.append((got.tobytes(), end[of_text].tolist()))
+        (ids, a), (raw, b) = out
+        for i in range(len(offsets) - 1):
+            yield ids[a[i] : a[i + 1]], raw[b[i] : b[i + 1]]
 
 
 def _coded(sent, pattern: str, digest: bool):
@@ -178,11 +223,9 @@ def _coded(sent, pattern: str, digest: bool):
         codec = Codec(ranks, pattern, pairs)
         for batch in batches:
             rest = batch.schema.names[:-1]
-            column = batch.column(len(rest))
-            for _, offsets, row in slices(column, 2 << 20):
+            for data, offsets, row in slices(batch.column(len(rest)), 2 << 20):
                 part = batch.slice(row, len(offsets) - 1)
-                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
-                out = list(codec.texts(texts))
+                out = list(codec.texts(data, offsets))
                 n = pa.array([len(i) // 4 for i, _ in out], pa.int64())
                 if digest:
                     more = [n, *(pa.array([hashlib.sha256(x[j]).hexdigest() for x in out], pa.string()) for j in (0, 1))]
