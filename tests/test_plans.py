@@ -4,9 +4,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from galley import registry
-from galley.operators import graph, matching
+from galley.operators import graph, matching, recipe_audit
 from galley.plans import adapters
 from galley.plans.adapters import table, tasks_for, view
 
@@ -53,6 +54,31 @@ def test_issues_are_looked_for_once(spark):
     assert "lineitem.parquet" not in physical
 
 
+def test_documents_deal_line_items_and_orders_once(spark):
+    physical = plan(recipe_audit._docs(spark, SF)).split("== Physical Plan ==")[1]
+    assert physical.count("lineitem.parquet") == physical.count("orders.parquet") == 1 and physical.count("Exchange hashpartitioning") == 2
+    assert "ObjectHashAggregate" not in physical and physical.count("Sort [") <= 2  # lines as they were dealt, and orders
+
+
+def test_lines_of_documents_hold_what_three_views_tell(spark):
+    lines, key = view(spark, SF, "doc_lines"), ["rid", "pos"]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(lines.select(*key, "ingredient.*")) == rows(view(spark, SF, "doc_ingredients"))
+    assert rows(lines.select(*key, "step.*")) == rows(view(spark, SF, "doc_steps"))
+    refs = [lines.select(*key, F.lit(k).alias("kind"), F.explode(k).alias("ref")).where("ref IS NOT NULL") for k in ("uses", "requires")]
+    assert rows(refs[0].unionAll(refs[1])) == rows(view(spark, SF, "graph_refs"))
+
+
+def test_summary_keeps_a_row_for_a_recipe(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(recipe_audit, "stored", lambda df: kept.append(df) or df)
+    issues = spark.createDataFrame([("a", "ERROR", "steps", ""), ("a", "ERROR", "graph", ""), ("a", "WARNING", "graph", ""), (None, "CRITICAL", "json", "")], "slug string, severity string, category string, message string")
+    got = sorted((r.section, r.name, r.n, r.detail) for r in recipe_audit.audit_summary(spark.range(3), issues, 1).collect())
+    assert kept[0].count() == 2 + 3 + 3
+    assert got == [("category", "graph", 2, None), ("category", "json", 1, None), ("category", "steps", 1, None), ("severity", "CRITICAL", 1, None), ("severity", "ERROR", 2, None), ("severity", "WARNING", 1, None),
+        ("total", "issues", 4, None), ("total", "recipes", 3, None), ("total", "with issues", 2, None), ("worst", "a", 3, "ERROR:2, WARNING:1")]
+
+
 def test_portions_read_what_was_kept(spark):
     physical = plan(registry.queries()["JOI-7_portion_validation"](spark, SF)).split("== Physical Plan ==")[1]
     assert "lineitem.parquet" not in physical and "/part.parquet" not in physical
